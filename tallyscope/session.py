@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "tallyscope") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
