@@ -13,17 +13,17 @@ DECIMAL_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 def to_minor_units(text: Column) -> Column:
     """Decimal text to minor units, or null when it is no number or finer than one unit.
 
-    The text is scaled as DECIMAL(38,18); the round trip through whole units rejects anything
-    finer. Nonzero digits past the eighteenth fraction digit are rejected by pattern first,
-    because the cast would round them away. Values beyond BIGINT are rejected.
+    The text is read as DECIMAL(38,18) and must equal itself at eight decimals. Nonzero digits
+    past the eighteenth decimal are rejected by pattern first, because the cast rounds them
+    away. Values beyond BIGINT are rejected.
     """
-    trimmed = F.trim(text)
-    value = trimmed.try_cast("decimal(38,18)")
-    lost = trimmed.rlike(r"\.[0-9]{18}[0-9]*[1-9]") | (trimmed.rlike(r"[eE]-") & (value == 0) & trimmed.rlike("^[^eE]*[1-9]"))
-    units = (value * F.lit(UNIT).cast("decimal(10,0)")).try_cast("decimal(38,10)")
-    whole = units.try_cast("bigint")
-    exact = units == whole.cast("decimal(20,0)")
-    return F.when(trimmed.rlike(DECIMAL_PATTERN) & ~lost & exact, whole)
+    plain = F.regexp_replace(text, "_", "")
+    value = plain.try_cast("decimal(38,18)")
+    vanished = plain.rlike("[eE]-") & (value == 0) & plain.rlike("^[^eE]*[1-9]")
+    lost = plain.rlike(r"\.[0-9]{18}[0-9]*[1-9]") | vanished
+    rounded = value.try_cast("decimal(28,8)")
+    units = (rounded * F.lit(UNIT).cast("decimal(9,0)")).try_cast("bigint")
+    return F.when(plain.rlike(DECIMAL_PATTERN) & ~lost & (value == rounded), units)
 
 
 def from_minor_units(units: Column) -> Column:
