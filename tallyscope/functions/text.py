@@ -24,6 +24,7 @@ INSTANT_PATTERN = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?)?"
     r"(?:([Zz])|([+-])(\d{2})(?::?(\d{2})(?::?(\d{2}))?)?)?$"
 )
+PLAIN_INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?([Zz]|[+-]\d{2}:\d{2})?$"
 IPV4_PATTERN = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
@@ -32,20 +33,30 @@ def strip(value: Column) -> Column:
 
 
 def parse_instant(value: Column) -> Column:
-    """ISO 8601 text to an instant; text without an offset is UTC, anything else is null."""
+    """ISO 8601 text to an instant; text without an offset is UTC, anything else is null.
+
+    The usual spelling is one pattern test and Spark's own cast; only other spellings (basic
+    form, reduced precision, comma fractions, offsets without colon) are taken apart.
+    """
     text = strip(value)
+    plain = F.when(
+        text.rlike("([Zz]|[+-][0-9]{2}:[0-9]{2})$"), F.upper(text).try_cast("timestamp")
+    ).otherwise(F.concat(text, F.lit("+00:00")).try_cast("timestamp"))
+    return F.when(text.rlike(PLAIN_INSTANT_PATTERN), plain).otherwise(_assembled_instant(text))
+
+
+def _assembled_instant(text: Column) -> Column:
     part = lambda i: F.regexp_extract(text, INSTANT_PATTERN, i)
     or_zero = lambda c: F.when(c == "", "00").otherwise(c)
     stamp = F.concat(
         part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit(" "), or_zero(part(5)), F.lit(":"),
         or_zero(part(7)), F.lit(":"), or_zero(part(8)), F.lit("."), F.rpad(F.substring(part(9), 1, 6), 6, "0"),
         F.lit("+00:00"))
-    hours, minutes, seconds = (or_zero(part(i)).cast("int") for i in (12, 13, 14))
-    offset = hours * 3600 + minutes * 60 + seconds
+    offset = or_zero(part(12)).cast("int") * 3600 + or_zero(part(13)).cast("int") * 60 + or_zero(part(14)).cast("int")
     signed = F.when(part(11) == "-", -offset).otherwise(offset)
-    micros = F.unix_micros(stamp.try_cast("timestamp")) - signed.cast("bigint") * 1_000_000
-    return F.when(text.rlike(INSTANT_PATTERN) & (hours < 24) & (minutes < 60) & (seconds < 60),
-                  F.timestamp_micros(micros))
+    sane = text.rlike(INSTANT_PATTERN) & ~text.rlike(r"[+-](2[4-9]|[3-9]\d)(:?\d{2}){0,2}$|[+-]\d{2}:?[6-9]\d(:?\d{2})?$")
+    return F.when(sane, F.timestamp_micros(
+        F.unix_micros(stamp.try_cast("timestamp")) - signed.cast("bigint") * 1_000_000))
 
 
 def parse_port(value: Column) -> Column:
