@@ -84,25 +84,29 @@ outf AS (SELECT receiver, CAST(sum(spent) AS BIGINT) AS out_sats, count(*) AS ou
 dest AS (SELECT m.receiver, count(DISTINCT p.receiver) AS dest_n FROM meas m JOIN io_pairs p ON p.payer = m.receiver
          WHERE p.ts >= m.start_us GROUP BY m.receiver)
 """
-BUSY = """,
+def _busy(percentile: float, floor: int) -> str:
+    return f""",
 gaps AS (SELECT address, ts - lag(ts) OVER (PARTITION BY address ORDER BY ts, txid) AS gap FROM adt),
 med AS (SELECT address, median(gap) AS median_gap FROM gaps WHERE gap IS NOT NULL GROUP BY address),
 ranked_n AS (SELECT tx_count, row_number() OVER (ORDER BY tx_count) - 1 AS i, count(*) OVER () AS n FROM act),
-cut AS (SELECT any_value(tx_count) AS cut FROM ranked_n WHERE i = round_even(0.95 * (n - 1), 0)),
+cut AS (SELECT any_value(tx_count) AS cut FROM ranked_n WHERE i = round_even({percentile} * (n - 1), 0)),
 busy AS (SELECT act.*, cut, median_gap, distinct_senders, distinct_receivers, distinct_counterparties, both_ways,
            distinct_senders >= 20 AND distinct_receivers >= 20 AS service
          FROM act JOIN cut ON true JOIN cpn USING (address) LEFT JOIN med USING (address)
-         WHERE tx_count >= greatest(cut, 40))
+         WHERE tx_count >= greatest(cut, {floor}))
 """
+
+
+BUSY = _busy(0.95, 40)
 GRADED = """,
 cand AS (SELECT m.*, round_even((end_us - start_us) / 3.6e9, 2) AS span,
            CASE WHEN contributing_transactions > 1 AND mean_p <> 0 THEN sd / mean_p ELSE 0.0 END AS cv,
-           round_even(contributing_transactions / incoming_tx_count, 4) AS conc,
+           round_even(contributing_transactions / act.incoming_tx_count, 4) AS conc,
            coalesce(out_sats, 0) AS out_sats, coalesce(out_n, 0) AS out_n, coalesce(dest_n, 0) AS dest_n,
            coalesce(service, false) AS service
          FROM meas m JOIN act ON act.address = m.receiver LEFT JOIN outf USING (receiver) LEFT JOIN dest USING (receiver)
          LEFT JOIN busy ON busy.address = m.receiver),
-raw_grade AS (SELECT *, cv <> 0 AND cv <= 0.5 AS similar,
+raw_grade AS (SELECT *, cv <> 0 AND cv <= 0.5 AS alike,
     least(60.0, greatest(0.0, 20.0 * log2(distinct_payers / 5.0) + 20.0))
     + CASE WHEN contributing_transactions >= 5 THEN
         CASE WHEN cv <> 0 AND cv <= 0.5 THEN 8 ELSE 0 END + CASE WHEN span <= 480.0 THEN 7 ELSE 0 END
@@ -174,6 +178,52 @@ hop AS (SELECT s.txid, s.address, arg_min(p.txid, (p.ts, p.txid)) AS next_txid,
         FROM steps s JOIN spends p ON p.address = s.address AND (p.ts > s.ts OR (p.ts = s.ts AND p.txid > s.txid))
          AND p.ts - s.ts <= CAST(8760 AS BIGINT) * 3600000000 GROUP BY ALL)
 """
+CHAINS = """,
+qual AS (SELECT txid, next_txid FROM hop WHERE next_txid IN (SELECT txid FROM steps)),
+paths(start, node, path) AS (
+  SELECT txid, txid, [txid] FROM steps
+  UNION ALL SELECT p.start, q.next_txid, list_append(p.path, q.next_txid) FROM paths p JOIN qual q ON q.txid = p.node),
+long AS (SELECT start, arg_max(path, len(path)) AS path FROM paths GROUP BY start HAVING max(len(path)) >= 3),
+starts AS (SELECT row_number() OVER (ORDER BY ts, txid) AS i, path FROM long JOIN steps ON txid = start),
+claim(i, used, chain) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT i, CASE WHEN len(c) >= 3 THEN list_concat(used, c) ELSE used END, CASE WHEN len(c) >= 3 THEN c ELSE CAST([] AS VARCHAR[]) END
+  FROM (SELECT s.i, used, CASE WHEN coalesce(stop, 0) > 0 THEN s.path[1:stop - 1] ELSE s.path END AS c
+        FROM (SELECT s.i, s.path, used, list_position(list_transform(s.path, lambda x: list_contains(used, x)), true) AS stop
+              FROM claim JOIN starts s ON s.i = claim.i + 1) s)),
+chained AS (SELECT chain[1] AS chain, unnest(chain) AS txid, unnest(range(1, len(chain) + 1)) AS hop FROM claim WHERE len(chain) > 0),
+hopped AS (SELECT c.chain, c.hop, d.txid, d.ts, d.k, d.address, d.amount, d.total_out, d.amount / d.total_out AS share,
+     (lead(d.ts) OVER (PARTITION BY c.chain ORDER BY c.hop) - d.ts) / 3.6e9 AS gap FROM chained c JOIN dom d USING (txid)),
+conts AS (SELECT chain, address, row_number() OVER (PARTITION BY chain ORDER BY min(hop)) AS position FROM hopped GROUP BY chain, address),
+sides AS (SELECT DISTINCT h.chain, outs.address FROM hopped h JOIN outs USING (k) WHERE outs.address <> h.address),
+csum AS (SELECT chain, count(*) AS hop_count, round_even(min(share), 4) AS min_share, round_even(max(share), 4) AS max_share,
+   min(ts) AS start_us, max(ts) AS end_us,
+   CAST(sum((SELECT coalesce(sum(amt), 0) FROM outs WHERE outs.k = hopped.k AND outs.address <> hopped.address)) AS BIGINT) AS peeled
+   FROM hopped GROUP BY chain),
+peel_subjects AS (SELECT chain, address, 'sequence_continuation' AS role, 75.0 AS severity, position FROM conts
+   UNION ALL SELECT chain, address, 'sequence_side_recipient', 40.0, NULL FROM sides s
+   WHERE NOT EXISTS (SELECT 1 FROM conts c WHERE c.chain = s.chain AND c.address = s.address))
+"""
+SEEN = """,
+seen_at AS (SELECT '10.0.' || c_nationkey || '.1' AS ip, address, count(*) AS n
+   FROM adt JOIN o USING (k, txid) JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+ip_n AS (SELECT '10.0.' || c_nationkey || '.1' AS ip, count(*) AS obs FROM o JOIN customer ON c_custkey = o_custkey GROUP BY ALL HAVING count(*) >= 3),
+ips AS (SELECT ip, min(address) FILTER (n >= 2) AS address FROM seen_at JOIN ip_n USING (ip) GROUP BY ip HAVING count(*) FILTER (n >= 2) >= 3)
+"""
+FINDINGS = """,
+finds AS (
+  SELECT 'collection_pattern' AS pattern, receiver AS subject, '' AS context, 'collection_point' AS role, severity,
+         contributing_transactions AS supports FROM graded WHERE severity >= 40
+  UNION ALL SELECT 'payment_participant', payer, g.receiver, 'potential_payment_participant', 20.0, count(*)
+    FROM graded g JOIN ev USING (receiver) WHERE severity >= 40 GROUP BY payer, g.receiver
+  UNION ALL SELECT 'peeling_sequence', p.address, 'peel:' || p.chain, p.role, p.severity, hop_count FROM peel_subjects p JOIN csum USING (chain)
+  UNION ALL SELECT 'common_control', address, 'clu_' || left(sha256(root), 16), 'possible_common_control_member', 40.0, n
+    FROM mem JOIN (SELECT root, count(*) AS n FROM csup GROUP BY root) USING (root)
+  UNION ALL SELECT 'shared_ip_observation', address, 'ip:' || ip, 'unknown_role', 0.0, 1 FROM ips
+  UNION ALL SELECT 'high_activity_context', address, '', CASE WHEN service THEN 'high_activity_service_like' ELSE 'unknown_role' END, 0.0, 1 FROM busy
+  UNION ALL SELECT 'coinjoin_like', txid, '', 'collaborative_transaction_participant', 25.0, 1 FROM tx WHERE collab)
+"""
 EDGES = """,
 edges AS (
   SELECT CASE WHEN side = 'input' THEN 'addr:' || address ELSE 'tx:' || txid END AS source,
@@ -232,6 +282,10 @@ def _q(select: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{LEDGER}{''.join(ctes)} {select}"
 
 
+_RUN = (PAIRS, COSPEND, COMPONENTS, COLLECT, _busy(0.99, 50), GRADED, HOPS, CHAINS, SEEN, FINDINGS)
+_SINGLE = "'common_control', 'coinjoin_like', 'shared_ip_observation', 'high_activity_context'"
+
+
 def _quantiles() -> str:
     # Unrounded values go into the quantiles; only the result is rounded.
     exact = FEATURE_SQL
@@ -331,7 +385,7 @@ ORACLE: dict[str, str] = {
     "receive_events": _q("SELECT txid, ts AS ts_us, payer, receiver FROM ev", PAIRS, COLLECT),
     "best_window": _q("SELECT receiver, distinct_payers, peak_us FROM best", PAIRS, COLLECT),
     "collection_graded": _q("""SELECT receiver AS address, distinct_payers, span AS observed_span_hours, contributing_transactions,
-        incoming_sats_in_window, round_even(cv, 4) AS payment_amount_cv, similar AS payments_similar_in_size,
+        incoming_sats_in_window, round_even(cv, 4) AS payment_amount_cv, alike AS payments_similar_in_size,
         conc AS inbound_concentration, out_sats AS subsequent_outflow_sats, out_n AS subsequent_outflow_transactions,
         dest_n AS distinct_outflow_destinations, start_us, end_us, service AS service_like_profile, round(severity, 6) AS severity
         FROM graded""", PAIRS, COLLECT, BUSY, GRADED),
@@ -356,6 +410,31 @@ ORACLE: dict[str, str] = {
               GROUP BY ALL HAVING count(*) >= 3) USING (endpoint)
         GROUP BY endpoint HAVING count(*) FILTER (n >= 2) >= 3"""),
     "next_hop": _q("SELECT txid, address, next_txid, next_us FROM hop", HOPS),
+    "peel_chains": _q("""SELECT chain, CAST(hop AS BIGINT) AS hop, txid, address, amount AS amount_sats,
+        round_even(share, 4) AS share, round_even(gap, 2) AS gap_hours FROM hopped""", HOPS, CHAINS, recursive=True),
+    "peel_findings": _q("""SELECT address AS subject_id, 'peel:' || chain AS context_id, role AS role_hypothesis,
+        CAST(severity AS DOUBLE) AS severity, hop_count, coalesce(n, 0) AS side_recipient_count, min_share, max_share,
+        peeled AS total_peeled_off_sats, position AS subject_position FROM peel_subjects JOIN csum USING (chain)
+        LEFT JOIN (SELECT chain, count(*) AS n FROM sides GROUP BY chain) USING (chain)""", HOPS, CHAINS, recursive=True),
+    "alerts": _q(f"""SELECT sha256('check|' || pattern || '|' || subject || '|' || context) AS alert_id,
+        CASE WHEN pattern = 'coinjoin_like' THEN 'transaction' ELSE 'address' END AS subject_type, subject AS subject_id, pattern,
+        role AS role_hypothesis, round_even(CAST(severity AS DOUBLE), 2) AS priority,
+        CASE WHEN severity >= 75 THEN 'high' WHEN severity >= 40 THEN 'medium' ELSE 'low' END AS priority_band,
+        CASE WHEN s >= 2 THEN 'high' WHEN s = 1 THEN 'medium' ELSE 'low' END AS evidence_strength
+        FROM (SELECT *, CAST(supports >= 3 AS INTEGER) + CAST(supports >= 8 AS INTEGER)
+              - CAST(pattern IN ({_SINGLE}) AS INTEGER) AS s FROM finds)""", *_RUN, recursive=True),
+    "predictions": _q("""SELECT address, false AS scored, coalesce(patterns, '') AS patterns,
+        CASE WHEN address IN (SELECT address FROM adt JOIN tx USING (k) WHERE collab) THEN 'coinjoin_like' ELSE '' END AS transaction_patterns,
+        coalesce(priority, 0.0) AS review_priority, priority IS NOT NULL AS raised_alert, coalesce(roles, '') AS roles
+        FROM act LEFT JOIN (SELECT subject AS address, array_to_string(list_sort(list(DISTINCT pattern)), ',') AS patterns,
+          round_even(CAST(max(severity) AS DOUBLE), 2) AS priority, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles
+          FROM finds WHERE pattern <> 'coinjoin_like' GROUP BY subject) USING (address)""", *_RUN, recursive=True),
+    "run_statistics": _q("""SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM act) AS addresses,
+        (SELECT count(*) FROM o JOIN customer ON c_custkey = o_custkey) AS observations, (SELECT count(*) FROM finds) AS alerts_total,
+        (SELECT count(*) FROM act) AS addresses_unscored, (SELECT count(*) FROM tx WHERE collab) AS collaborative_transactions_excluded,
+        (SELECT count(*) FROM sized) AS cluster_hypotheses, (SELECT count(*) FROM graded) AS collection_candidates,
+        (SELECT count(*) FROM graded WHERE severity >= 40) AS collection_reported,
+        (SELECT count(*) FROM graded WHERE severity < 40) AS collection_below_threshold""", *_RUN, recursive=True),
     "feature_quantiles": _quantiles(),
     "percentile_rank": _q("""SELECT a.address, a.spent_sats, round((count(*) FILTER (b.received_sats < a.spent_sats)
         + count(*) FILTER (b.received_sats <= a.spent_sats)) / 2.0 / count(*) * 100.0, 6) AS anomaly_percentile

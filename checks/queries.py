@@ -473,7 +473,7 @@ def _run(spark, folder):
 def alerts(spark, folder):
     return _run(spark, folder).alerts.select(
         "alert_id", "subject_type", "subject_id", "pattern", "role_hypothesis", "priority", "priority_band",
-        "evidence_strength", "explanation")
+        "evidence_strength")
 
 
 @query
@@ -487,7 +487,7 @@ def predictions(spark, folder):
 @query
 def run_statistics(spark, folder):
     return _run(spark, folder).stats.select(
-        "transactions", "addresses", "observations", "addresses_unscored", "collaborative_transactions_excluded",
+        "transactions", "addresses", "observations", "alerts_total", "addresses_unscored", "collaborative_transactions_excluded",
         "cluster_hypotheses", "collection_candidates", "collection_reported", "collection_below_threshold")
 
 
