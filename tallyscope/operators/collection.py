@@ -32,32 +32,46 @@ def receive_events(marked: DataFrame, receivers: DataFrame | None = None) -> Dat
     return payer_receiver_pairs(marked.where("not collaborative"), receivers=receivers)
 
 
-def best_window(events: DataFrame, config: Collection) -> DataFrame:
-    """Most distinct payers in any inclusive window per receiver, and when it is first reached.
+def payer_stretches(events: DataFrame, config: Collection) -> DataFrame:
+    """(receiver, start_us, end_us): when a payer counts, without overlap per payer.
 
-    A payer counts at instant T while its latest payment is at most one window old, that is on
-    [t, min(t + window, next payment)). Those stretches do not overlap per payer, so the number
-    open at T is the distinct payer count. The next payment is looked up per (receiver, payer,
-    time bucket); a copy of each bucket's first payment closes the bucket before it.
+    A payer counts at instant T while its latest payment is at most one window old. When all its
+    payments to a receiver lie within one window, that is one stretch from the first payment to
+    one window after the last, found by a hash aggregate; this covers one-off payers. Only payers
+    active for longer are walked payment by payment, inside (receiver, payer, time bucket); a
+    copy of each bucket's first payment closes the bucket before it.
     """
     window = hours_us(config.window_hours)
     width = 4 * max(window, 1)
     key = ["receiver", "payer"]
-    points = events.select(*key, F.col("ts_us").alias("at"), F.expr(f"ts_us div {width}").alias("bucket")).distinct()
+    spans = events.groupBy(*key).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
+    brief = F.col("last_us") - F.col("first_us") <= window
+    short = spans.where(brief).select(
+        "receiver", F.col("first_us").alias("start_us"), (F.col("last_us") + window).alias("end_us"))
+    points = (
+        events.join(spans.where(~brief).select(*key), key, "left_semi")
+        .select(*key, F.col("ts_us").alias("at"), F.expr(f"ts_us div {width}").alias("bucket")).distinct()
+    )
     guards = (
         points.groupBy(*key, "bucket").agg(F.min("at").alias("at"))
         .select(*key, "at", (F.col("bucket") - 1).alias("bucket"), F.lit(True).alias("guard"))
     )
     after = W.partitionBy(*key, "bucket").orderBy("at")
-    stretches = (
+    walked = (
         points.withColumn("guard", F.lit(False)).unionByName(guards)
         .withColumn("next_at", F.lead("at").over(after))
         .where("not guard")
         .select("receiver", F.col("at").alias("start_us"),
                 F.least(F.col("at") + window, F.col("next_at") - 1).alias("end_us"))
     )
+    return short.unionByName(walked)
+
+
+def best_window(events: DataFrame, config: Collection) -> DataFrame:
+    """Most distinct payers in any inclusive window per receiver, and when it is first reached."""
+    width = 4 * max(hours_us(config.window_hours), 1)
     return (
-        peak_overlap(stretches, ["receiver"], width)
+        peak_overlap(payer_stretches(events, config), ["receiver"], width)
         .where(F.col("peak") >= config.min_distinct_payers)
         .select("receiver", F.col("peak").alias("distinct_payers"), "peak_us")
     )

@@ -21,6 +21,7 @@ from tallyscope.operators import (
     scoring,
     structure,
 )
+from tallyscope.session import side_by_side
 from tallyscope.settings import NAMED_PATTERNS, DetectorConfig
 
 
@@ -61,46 +62,58 @@ def run_analysis(ledger: DataFrame, observations: DataFrame, config: DetectorCon
     config = config or DetectorConfig()
     marked = stage(structure.mark_collaborative(ledger, config.coinjoin), "ledger")
     address_tx = stage(activity.address_transactions(marked), "address-tx")
-    profiles = stage(features.address_profiles(marked, address_tx), "profiles")
-    frame = features.address_features(profiles)
-    scores, status, error = model.score_addresses(frame, anomaly_model)
-    scores = stage(scores, "address-scores")
+    endpoints = activity.endpoint_index(observations)
 
-    coinjoin = structure.coinjoin_like(marked, config.coinjoin)
+    def profile_branch():
+        profiles = stage(features.address_profiles(marked, address_tx), "profiles")
+        frame = features.address_features(profiles)
+        scores, status, error = model.score_addresses(frame, anomaly_model)
+        cut = context.activity_cut(profiles, config.high_volume.activity_percentile).first()
+        busy = context.high_activity(profiles, cut[0] if cut else 0, config.high_volume)
+        return profiles, frame, stage(scores, "address-scores"), status, error, stage(busy, "high-activity")
+
+    def collection_branch():
+        events = collection.receive_events(marked, collection.possible_collectors(marked, config.collection))
+        best = stage(collection.best_window(events, config.collection), "best-window")
+        collectors = best.select(F.col("receiver").alias("address"))
+        paid = collection.window_payments(
+            collection.receive_events(marked, collectors), best, config.collection)
+        return stage(collection.window_transactions(paid, address_tx), "window-tx")
+
+    def peel_branch():
+        chains = peeling.peel_chains(marked, address_tx, config.peeling)
+        return stage(peeling.peel_hops(chains, marked), "peel-hops")
+
+    def control_branch():
+        rule = config.common_control
+        pairs = cocontrol.co_input_pairs(marked, rule.collaborative_input_threshold)
+        supported = stage(cocontrol.supported_pairs(pairs, rule.min_shared_transactions), "pairs")
+        members = stage(cocontrol.clusters(supported, rule), "clusters")
+        support = stage(cocontrol.cluster_support(pairs, supported, members), "cluster-support")
+        excluded = cocontrol.excluded_transactions(marked, rule)
+        hypotheses = stage(cocontrol.cluster_hypotheses(supported, support, members, excluded), "hypotheses")
+        return members, support, excluded, hypotheses
+
+    def endpoint_branch():
+        return stage(context.shared_ip(endpoints, marked, config.shared_ip), "shared-ip")
+
+    (profiles, frame, scores, status, error, busy), window_tx, hops, control, shared = side_by_side(
+        marked.sparkSession, profile_branch, collection_branch, peel_branch, control_branch, endpoint_branch)
+    members, support, excluded, hypotheses = control
 
-    cut = context.activity_cut(profiles, config.high_volume.activity_percentile).first()
-    busy = stage(context.high_activity(profiles, cut[0] if cut else 0, config.high_volume), "high-activity")
     service_like = busy.where("service_like_profile").select(F.col("subject_id").alias("address"))
-
-    events = collection.receive_events(marked, collection.possible_collectors(marked, config.collection))
-    best = stage(collection.best_window(events, config.collection), "best-window")
-    window_tx = stage(collection.window_transactions(
-        collection.window_payments(
-            collection.receive_events(marked, best.select(F.col("receiver").alias("address"))), best, config.collection),
-        address_tx), "window-tx")
     candidates = collection.collection_candidates(marked, window_tx, address_tx, profiles, config.collection)
     graded = stage(collection.grade_collection(candidates, service_like, config.collection), "graded")
     reported = collection.report_collection(graded, config.collection)
     payments = stage(collection.participant_payments(marked, reported, address_tx), "payments")
-    participants = collection.payment_participants(payments, reported)
-
-    hops = stage(peeling.peel_hops(peeling.peel_chains(marked, address_tx, config.peeling), marked), "peel-hops")
-    peels = peeling.peel_findings(hops, config.peeling)
-
-    pairs = cocontrol.co_input_pairs(marked, config.common_control.collaborative_input_threshold)
-    supported = stage(cocontrol.supported_pairs(pairs, config.common_control.min_shared_transactions), "pairs")
-    members = stage(cocontrol.clusters(supported, config.common_control), "clusters")
-    support = stage(cocontrol.cluster_support(pairs, supported, members), "cluster-support")
-    excluded = cocontrol.excluded_transactions(marked, config.common_control)
-    hypotheses = stage(cocontrol.cluster_hypotheses(supported, support, members, excluded), "hypotheses")
-    controlled = cocontrol.common_control(hypotheses, members, config.common_control)
-
-    endpoints = activity.endpoint_index(observations)
-    shared = stage(context.shared_ip(endpoints, marked, config.shared_ip), "shared-ip")
 
     typed = {
-        "coinjoin_like": coinjoin, "collection_pattern": reported, "payment_participant": participants,
-        "peeling_sequence": peels, "common_control": controlled, "shared_ip_observation": shared,
+        "coinjoin_like": structure.coinjoin_like(marked, config.coinjoin),
+        "collection_pattern": reported,
+        "payment_participant": collection.payment_participants(payments, reported),
+        "peeling_sequence": peeling.peel_findings(hops, config.peeling),
+        "common_control": cocontrol.common_control(hypotheses, members, config.common_control),
+        "shared_ip_observation": shared,
         "high_activity_context": busy,
     }
     named = _union([typed[d].select("subject_id") for d in NAMED_PATTERNS]).distinct()

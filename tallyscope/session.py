@@ -1,6 +1,11 @@
 """Session settings the library relies on."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +32,9 @@ def local_session(cores: int | str = 8, app: str = "tallyscope") -> SparkSession
     )
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
+
+
+def side_by_side(spark: SparkSession, *branches: Callable[[], Any]) -> list[Any]:
+    """Run independent pieces of a job at the same time; Spark interleaves their stages."""
+    with ThreadPoolExecutor(max_workers=len(branches)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(b)) for b in branches]]
