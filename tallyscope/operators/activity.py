@@ -1,6 +1,8 @@
 """Per-transaction and per-address views of a ledger."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,21 +124,26 @@ def payer_receiver_pairs(ledger: DataFrame, receivers: DataFrame | None = None,
     """(txid, ts_us, discrepancy, payer, receiver) for every distinct payer and receiver of a transaction.
 
     The pairs come from the row's own arrays, so there is no join. A transaction with very many
-    pairs is first cut into array chunks that are spread over tasks; the result is the same.
+    pairs is first cut into array chunks that are spread over tasks; the result is the same. Such
+    rows have a long side, which the Parquet statistics of the counts rule out for most row
+    groups, so the second scan reads little.
     ``receivers`` / ``payers`` restrict one side (column ``address``) before the other side is
     expanded.
     """
+    counts = ("input_count", "output_count")
     base = ledger.select(
-        "txid", "ts_us", (F.col("residual_sats") != 0).alias("discrepancy"),
+        *counts, "txid", "ts_us", (F.col("residual_sats") != 0).alias("discrepancy"),
         entries.distinct_addresses("inputs").alias("payers"),
         entries.distinct_addresses("outputs").alias("receivers"),
     )
-    pairs = F.size("payers").cast("bigint") * F.size("receivers")
-    narrow = base.where(pairs <= WIDE_PAIRS)
+    pairs = F.col("input_count").cast("bigint") * F.col("output_count")
+    long_side = math.isqrt(WIDE_PAIRS)
+    narrow = base.where(pairs <= WIDE_PAIRS).drop(*counts)
     chunk = lambda name: F.transform(
         F.sequence(F.lit(1), F.size(name), F.lit(_CHUNK)), lambda i: F.slice(F.col(name), i, F.lit(_CHUNK)))
     wide = (
-        base.where(pairs > WIDE_PAIRS)
+        base.where((F.col("input_count") > long_side) | (F.col("output_count") > long_side))
+        .where(pairs > WIDE_PAIRS).drop(*counts)
         .withColumn("payers", F.explode(chunk("payers")))
         .withColumn("receivers", F.explode(chunk("receivers")))
         .repartition("txid", F.hash("payers"), F.hash("receivers"))

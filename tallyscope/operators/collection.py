@@ -142,7 +142,7 @@ def collection_candidates(marked: DataFrame, window_tx: DataFrame, address_tx: D
         .select(
             F.col("receiver").alias("address"),
             "distinct_payers",
-            F.lit(config.window_hours).alias("window_hours"),
+            F.lit(float(config.window_hours)).alias("window_hours"),
             F.bround((F.col("end_us") - F.col("start_us")) / F.lit(3.6e9), 2).alias("observed_span_hours"),
             "contributing_transactions",
             "incoming_sats_in_window",

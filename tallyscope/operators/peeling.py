@@ -205,10 +205,10 @@ def peel_findings(hops: DataFrame, config: Peeling) -> DataFrame:
         F.coalesce("side_recipient_count", F.lit(0).cast("bigint")).alias("side_recipient_count"),
         "min_share",
         "max_share",
-        F.lit(config.min_dominant_share).alias("min_dominant_share_threshold"),
+        F.lit(float(config.min_dominant_share)).alias("min_dominant_share_threshold"),
         "min_gap_hours",
         "max_gap_hours",
-        F.lit(config.max_gap_hours).alias("max_gap_hours_threshold"),
+        F.lit(float(config.max_gap_hours)).alias("max_gap_hours_threshold"),
         "total_peeled_off_sats",
         "entry_value_sats",
         "final_continuation_sats",
