@@ -11,6 +11,7 @@ of all pieces is spread over many tasks.
 """
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,37 +26,61 @@ from pyspark.sql import types as T
 from tallyscope.llm.common import keep, text_of
 
 CAPACITY = 4096
-#: Chunks a task remembers before it starts anew; bounds memory only.
-REMEMBERED = 400_000
+#: Chunks, and pre-tokens, a task remembers before it starts anew; bounds memory only.
+REMEMBERED = 150_000
+#: How the public vocabulary splits lower-case text, for characters below U+0300.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]"
+           r"|(?:[^\t-\r \x85\xa0\w]|_)+")
+SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 
 
 class ChunkIds:
     """Token ids of a text as little-endian 32-bit bytes, remembering chunks between white space.
 
     The vocabulary drops white space and never joins characters across it, so the ids of a text
-    are the ids of its chunks in order.
+    are the ids of its chunks in order. A new chunk of characters below U+0300, which are in
+    normal form already, is lower-cased and split; only pre-tokens not met before go through the
+    tokenizer. Other chunks, and those with a special string, go there whole.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._known: dict[str, bytes] = {}
+        self._match = re.compile(PATTERN).findall
+        self._chunks: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(texts), 1024):
+            part = texts[at:at + 1024]
+            for text, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                into[text] = np.asarray(got.ids, "<u4").tobytes()
 
     def learn(self, texts: list[str]) -> list[list[str]]:
+        """Cut texts into chunks and make sure the ids of all of them are known."""
         chunked = [_split(text) for text in texts]
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        known = self._known
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for chunk, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.asarray(got.ids, "<u4").tobytes()
+        if len(self._chunks) > REMEMBERED:
+            self._chunks = {}
+        if len(self._pieces) > REMEMBERED:
+            self._pieces = {}
+        chunks, pieces = self._chunks, self._pieces
+        new = {c for found in chunked for c in found if c not in chunks}
+        plain, whole = {}, []
+        for chunk in new:
+            if (chunk.isascii() or max(chunk) < "\u0300") and not any(s in chunk for s in SPECIALS):
+                plain[chunk] = self._match(chunk.lower())
+            else:
+                whole.append(chunk)
+        self._encode(whole, chunks)
+        self._encode(list({p for found in plain.values() for p in found if p not in pieces}), pieces)
+        for chunk, found in plain.items():
+            chunks[chunk] = b"".join([pieces[p] for p in found])
         return chunked
 
     def of(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self._known.__getitem__, chunks))
+        return b"".join(map(self._chunks.__getitem__, chunks))
 
 
 def _split(text: str) -> list[str]:
@@ -80,9 +105,9 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for at in range(0, len(docs), 256):
-                chunked = ids_of.learn(texts[at:at + 256].to_pylist())
-                for doc, chunks in zip(docs[at:at + 256], chunked):
+            for at in range(0, len(docs), 128):
+                chunked = ids_of.learn(texts[at:at + 128].to_pylist())
+                for doc, chunks in zip(docs[at:at + 128], chunked):
                     ids = ids_of.of(chunks) + end
                     for piece, low in enumerate(range(0, len(ids), width)):
                         part = ids[low:low + width]

@@ -6,14 +6,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import mixing, packing, token_counts
+from tallyscope.llm import jpeg_media, mixing, packing, simhash_near, token_counts, toxicity
 from tallyscope.llm.common import table
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.stored_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near.near_components(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,7 +35,10 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jpeg_media": op3_jpeg_media,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash_near": op5_simhash_near,
+    "op6_toxicity": op6_toxicity,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_entropy_mix": op10_entropy_mix,
 }
