@@ -42,6 +42,14 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Let Arrow batches hold at most ``rows`` rows: whole texts travel in them to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+    return spark
+
+
 def fold(df: DataFrame, column: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; null ids give null."""
     return F.crc32(df[column].cast("string").cast("binary")) % parts

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import by_size, text_of
+from tallyscope.llm.common import by_size, short_batches, text_of
 
 #: Blocks in a row, rows in one image (65,535 samples), payload bytes handled at once by a task.
 ROW = 64
@@ -430,6 +430,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
     height and thumbnail hash. Equal texts give equal values; repeated rows and null ids give a
     row each; further columns are ignored.
     """
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(_store, _STORED)
 
 

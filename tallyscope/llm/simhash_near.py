@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import keep, text_of
+from tallyscope.llm.common import keep, short_batches, text_of
 from tallyscope.operators.components import connected_components
 
 SHINGLE = 4
@@ -32,6 +32,7 @@ BUDGETS = tuple((n + 1) * DISTANCE // len(SEGMENTS) for n in range(len(SEGMENTS)
 #: Rows of one side that meet in one block of a key, and candidate pairs compared at once.
 BLOCK = 4096
 PAIRS = 1 << 20
+GATHER = 1 << 16
 _CHUNK = 1 << 16
 
 
@@ -69,6 +70,7 @@ def _fingerprints(texts):
 
 def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
     """Add the fingerprint as a signed 64-bit number; null texts count as empty."""
+    short_batches(docs.sparkSession)
     return docs.withColumn(name, _fingerprints(text_of(docs)))
 
 
@@ -187,27 +189,34 @@ _LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.Lo
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the groups of a sorted partition; a group that a batch cuts waits for the next one."""
-    waiting: list[np.ndarray] | None = None
+    """Compare the groups of a sorted partition, some ten thousand rows at a time.
+
+    The last group of what was read may go on in the next batch and waits for it.
+    """
+    held: list[pa.RecordBatch] = []
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
         u, v = _compare(columns[0], columns[1], columns[2] == 0, columns[3].view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
+    def together() -> list[np.ndarray]:
+        return [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if waiting is not None:
-            columns = [np.concatenate(pair) for pair in zip(waiting, columns)]
-        key, cell = columns[0], columns[1]
-        if not len(key):
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < GATHER:
             continue
-        last = (key == key[-1]) & (cell == cell[-1])
-        cut = len(key) - int(np.argmin(last[::-1])) if not last.all() else 0
-        if cut:
+        columns = together()
+        key, cell = columns[0], columns[1]
+        other = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+        if len(other):
+            cut = int(other[-1]) + 1
             yield out([c[:cut] for c in columns])
-        waiting = [c[cut:] for c in columns]
-    if waiting is not None:
-        yield out(waiting)
+            held = [pa.Table.from_batches(held).slice(cut).combine_chunks().to_batches()[0]]
+    if held:
+        yield out(together())
 
 
 def near_classes(fingerprints: DataFrame) -> DataFrame:

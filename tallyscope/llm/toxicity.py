@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyscope.llm.common import fold, text_of
+from tallyscope.llm.common import fold, short_batches, text_of
 
 SAMPLE = (3000, 2000)
 SAMPLE_BYTES = 40 << 20
@@ -30,7 +30,7 @@ DIMENSION = 8
 GRAMS = (3, 4, 5)
 PASSAGE = 5
 THRESHOLD = 0.7
-#: Words a task remembers before it starts anew; bounds memory only.
+#: Words a task remembers (about the first it meets); bounds memory only.
 REMEMBERED = 200_000
 _EDGES = ".,;:!?\"'()[]{}<>*_#|-…«»„“”"
 
@@ -85,23 +85,25 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model) -> None:
-        self._model, self._known = model, {}
+        self._model, self._known, self._rest = model, {}, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """Probability of the toxic label for whole texts: that of the most toxic passage."""
         split = [t.split() for t in texts]
-        if len(self._known) > REMEMBERED:
-            self._known = {}
         known = self._known
         new = list({w for words in split for w in words if w not in known})
+        self._rest = {}
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
-            known.update(zip(part, self._model.words([bare(w) for w in part]).tolist()))
+            (known if len(known) < REMEMBERED else self._rest).update(
+                zip(part, self._model.words([bare(w) for w in part]).tolist()))
         top = np.array([self._top(words) if words else self._model.empty - self._model.bias for words in split])
         return 1 / (1 + np.exp(-np.clip(top + self._model.bias, -30, 30)))
 
     def _top(self, words: list[str]) -> float:
-        logits = np.fromiter(map(self._known.__getitem__, words), np.float64, len(words))
+        known = self._known.get
+        rest = self._rest
+        logits = np.fromiter((rest[w] if (s := known(w)) is None else s for w in words), np.float64, len(words))
         whole = len(logits) // PASSAGE * PASSAGE
         best = logits[:whole].reshape(-1, PASSAGE).mean(1).max() if whole else -np.inf
         return float(max(best, logits[whole:].mean()) if whole < len(logits) else best)
@@ -241,7 +243,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
 
 def score_column(spark, model: Model):
     """A column function: probability of the toxic label of a text column without nulls."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = short_batches(spark).sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
