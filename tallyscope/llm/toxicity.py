@@ -243,11 +243,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
 
 def score_column(spark, model: Model):
     """A column function: probability of the toxic label of a text column without nulls."""
-    shared = short_batches(spark).sparkContext.broadcast(model)
+    shared = short_batches(spark).sparkContext.broadcast((model.weights, model.bias, model.empty))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for texts in batches:
             values = texts.tolist()
             yield pd.Series(np.concatenate([scorer(values[i:i + 512]) for i in range(0, len(values), 512)]) if values else np.zeros(0))
