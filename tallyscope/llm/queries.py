@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import hidden_markov, jpeg_media, mixing, packing, simhash_near, token_counts, toxicity
+from tallyscope.llm import hidden_markov, jpeg_media, mixing, neighbour_graph, packing, simhash_near, token_counts, toxicity
 from tallyscope.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.scored_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.stored_texts(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
+    "op2_neighbour_graph": op2_neighbour_graph,
     "op3_jpeg_media": op3_jpeg_media,
     "op4_token_counts": op4_token_counts,
     "op5_simhash_near": op5_simhash_near,
