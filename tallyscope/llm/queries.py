@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import hidden_markov, jpeg_media, mixing, neighbour_graph, packing, simhash_near, token_counts, toxicity
+from tallyscope.llm import hidden_markov, jpeg_media, mixing, neighbour_graph, packing, simhash_near, site_style, token_counts, toxicity
 from tallyscope.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash_near": op5_simhash_near,
     "op6_toxicity": op6_toxicity,
+    "op7_site_style": op7_site_style,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_entropy_mix": op10_entropy_mix,
 }
