@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import hidden_markov, jpeg_media, mixing, neighbour_graph, packing, simhash_near, site_style, token_counts, toxicity
+from tallyscope.llm import hidden_markov, jpeg_media, licence_scan, mixing, neighbour_graph, packing, simhash_near, site_style, token_counts, toxicity
 from tallyscope.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near": op5_simhash_near,
     "op6_toxicity": op6_toxicity,
     "op7_site_style": op7_site_style,
+    "op8_licence_scan": op8_licence_scan,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_entropy_mix": op10_entropy_mix,
 }
