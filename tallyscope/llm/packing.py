@@ -11,8 +11,8 @@ of all pieces is spread over many tasks.
 """
 from __future__ import annotations
 
-import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,64 +23,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import keep, text_of
+from tallyscope.llm.common import keep, short_batches, text_of
 
 CAPACITY = 4096
-#: Chunks, and pre-tokens, a task remembers before it starts anew; bounds memory only.
+#: Chunks, and pre-tokens, a task remembers (the first ones it meets); bounds memory only.
 REMEMBERED = 150_000
 #: How the public vocabulary splits lower-case text, for characters below U+0300.
+#: Its special strings begin with "<|".
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]"
            r"|(?:[^\t-\r \x85\xa0\w]|_)+")
-SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves, the other bytes take the letters from 256 on.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class ChunkIds:
     """Token ids of a text as little-endian 32-bit bytes, remembering chunks between white space.
 
     The vocabulary drops white space and never joins characters across it, so the ids of a text
-    are the ids of its chunks in order. A new chunk of characters below U+0300, which are in
-    normal form already, is lower-cased and split; only pre-tokens not met before go through the
-    tokenizer. Other chunks, and those with a special string, go there whole.
+    are the ids of its chunks in order. A chunk of characters below U+0300, which are in normal
+    form already, is lower-cased and split, and its pre-tokens go to the tokenizer's merge model.
+    Other chunks, and those with a special string, go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
+        self._merge = self._tokenizer.model.tokenize
         self._match = re.compile(PATTERN).findall
+        self._letters = _byte_letters()
         self._chunks: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str], into: dict[str, bytes]) -> None:
-        for at in range(0, len(texts), 1024):
-            part = texts[at:at + 1024]
-            for text, got in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                into[text] = np.asarray(got.ids, "<u4").tobytes()
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Cut texts into chunks and make sure the ids of all of them are known."""
-        chunked = [_split(text) for text in texts]
-        if len(self._chunks) > REMEMBERED:
-            self._chunks = {}
-        if len(self._pieces) > REMEMBERED:
-            self._pieces = {}
-        chunks, pieces = self._chunks, self._pieces
-        new = {c for found in chunked for c in found if c not in chunks}
-        plain, whole = {}, []
-        for chunk in new:
-            if (chunk.isascii() or max(chunk) < "\u0300") and not any(s in chunk for s in SPECIALS):
-                plain[chunk] = self._match(chunk.lower())
-            else:
-                whole.append(chunk)
-        self._encode(whole, chunks)
-        self._encode(list({p for found in plain.values() for p in found if p not in pieces}), pieces)
-        for chunk, found in plain.items():
-            chunks[chunk] = b"".join([pieces[p] for p in found])
-        return chunked
-
-    def of(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self._chunks.__getitem__, chunks))
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
+        ids = [token.id for token in self._merge(spelt)]
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self._pieces) < REMEMBERED:
+            self._pieces[piece] = got
+        return got
+
+    def _chunk(self, chunk: str) -> bytes:
+        if (chunk.isascii() or max(chunk) < "\u0300") and "<|" not in chunk:
+            known = self._pieces.get
+            got = b"".join([known(p) or self._piece(p) for p in self._match(chunk.lower())])
+        else:
+            ids = self._tokenizer.encode(chunk, add_special_tokens=False).ids
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self._chunks) < REMEMBERED:
+            self._chunks[chunk] = got
+        return got
+
+    def of(self, text: str) -> bytes:
+        chunks = _split(text)
+        got = list(map(self._chunks.get, chunks))
+        if None in got:
+            got = [self._chunk(c) if g is None else g for c, g in zip(chunks, got)]
+        return b"".join(got)
 
 
 def _split(text: str) -> list[str]:
@@ -105,14 +112,12 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for at in range(0, len(docs), 128):
-                chunked = ids_of.learn(texts[at:at + 128].to_pylist())
-                for doc, chunks in zip(docs[at:at + 128], chunked):
-                    ids = ids_of.of(chunks) + end
-                    for piece, low in enumerate(range(0, len(ids), width)):
-                        part = ids[low:low + width]
-                        for column, value in zip(rows, (doc, piece, low // 4, len(part) // 4, zlib.crc32(part))):
-                            column.append(value)
+            for doc, text in zip(docs, texts):
+                ids = ids_of.of(text.as_py()) + end
+                for piece, low in enumerate(range(0, len(ids), width)):
+                    part = ids[low:low + width]
+                    for column, value in zip(rows, (doc, piece, low // 4, len(part) // 4, zlib.crc32(part))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=_PIECES.fieldNames())
@@ -122,6 +127,7 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and end id, cut at ``capacity``."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(
         _cut(tokenizer_path, end_id, capacity), _PIECES)
 
