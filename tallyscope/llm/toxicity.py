@@ -124,9 +124,11 @@ def _summed(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, column, size) for column in values.T], axis=1)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 6, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 6, steps: int = 400, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
     """Train embeddings and softmax jointly, then calibrate on a fifth of the sample kept apart.
 
+    There are at least ``rounds`` passes over the sample and ``steps`` mini-batches.
+
     Without both labels there is nothing to tell apart: the model then returns the share of toxic
     labels (0.5 of no labels) for every text.
     """
@@ -138,6 +140,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 6, batch: int = 64, r
     apart = np.arange(len(target)) % 5 == 4
     if len(np.unique(target[apart])) < 2 or len(np.unique(target[~apart])) < 2:
         apart[:] = False
+    rounds = max(rounds, -(-steps // -(-int((~apart).sum()) // batch)))
     model = _trained([t for t, a in zip(texts, apart) if not a], target[~apart], rounds, batch, rate, seed)
     model.empty = min(prior, 0.0)
     if not apart.any():
@@ -198,7 +201,7 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
             chance = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
             doc = np.repeat(np.arange(len(chosen)), sizes)
             label = target[np.asarray(chosen)]
-            if turn < 2:
+            if turn < max(2, rounds // 3):
                 weight = (1 / np.asarray(sizes, np.float64))[doc]
             else:
                 peak = np.maximum.reduceat(chance, first)[doc]
