@@ -225,20 +225,20 @@ finds AS (
   UNION ALL SELECT 'coinjoin_like', txid, '', 'collaborative_transaction_participant', 25.0, 1 FROM tx WHERE collab)
 """
 EDGES = """,
-edges AS (
+edges AS MATERIALIZED (
   SELECT CASE WHEN side = 'input' THEN 'addr:' || address ELSE 'tx:' || txid END AS source,
          CASE WHEN side = 'input' THEN 'tx:' || txid ELSE 'addr:' || address END AS target,
          CASE WHEN side = 'input' THEN 'in:' ELSE 'out:' END || pos AS key,
          CASE WHEN side = 'input' THEN 'spend' ELSE 'receive' END AS kind, amt AS amount_sats FROM io
   UNION ALL SELECT 'ip:10.0.' || c_nationkey || '.1', 'tx:' || txid, 'obs:' || (k + 1), 'observation', NULL
   FROM o JOIN customer ON c_custkey = o_custkey),
-und AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
-h1 AS (SELECT b AS id, row_number() OVER (ORDER BY b) AS rank FROM (SELECT DISTINCT b FROM und WHERE a = 'addr:A0' AND b <> 'addr:A0')
+und AS MATERIALIZED (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+h1 AS MATERIALIZED (SELECT b AS id, row_number() OVER (ORDER BY b) AS rank FROM (SELECT DISTINCT b FROM und WHERE a = 'addr:A0' AND b <> 'addr:A0')
        ORDER BY b LIMIT 299),
-h2c AS (SELECT b AS id, min(rank) AS parent FROM und JOIN h1 ON a = id WHERE b <> 'addr:A0' AND b NOT IN (SELECT id FROM h1) GROUP BY b),
-h2 AS (SELECT id, (SELECT count(*) FROM h1) + row_number() OVER (ORDER BY parent, id) AS rank FROM h2c
+h2c AS MATERIALIZED (SELECT b AS id, min(rank) AS parent FROM und JOIN h1 ON a = id WHERE b <> 'addr:A0' AND b NOT IN (SELECT id FROM h1) GROUP BY b),
+h2 AS MATERIALIZED (SELECT id, (SELECT count(*) FROM h1) + row_number() OVER (ORDER BY parent, id) AS rank FROM h2c
        QUALIFY row_number() OVER (ORDER BY parent, id) <= 299 - (SELECT count(*) FROM h1)),
-view AS (SELECT 'addr:A0' AS id, 0 AS hop, 0 AS rank UNION ALL SELECT id, 1, rank FROM h1 UNION ALL SELECT id, 2, rank FROM h2)
+view AS MATERIALIZED (SELECT 'addr:A0' AS id, 0 AS hop, 0 AS rank UNION ALL SELECT id, 1, rank FROM h1 UNION ALL SELECT id, 2, rank FROM h2)
 """
 PRIORITY = """,
 ranks AS (SELECT a.address, a.tx_count, a.spent_sats, a.received_sats,
@@ -315,7 +315,7 @@ ORACLE: dict[str, str] = {
     "top_endpoints": _q("""SELECT address, src_ip, n AS sightings, row_number() OVER (PARTITION BY address ORDER BY n DESC, src_ip) AS rank
         FROM (SELECT address, '10.0.' || c_nationkey || '.1' AS src_ip, count(*) AS n
               FROM adt JOIN o USING (k, txid) JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
-        QUALIFY rank <= 25"""),
+        """),
     "norm_amounts": _q("""SELECT row_number, total_in AS total_in_sats, total_out AS total_out_sats, fee AS fee_sats,
         true_fee - coalesce(fee, 0) AS residual_sats FROM fees WHERE state = 'ok'""", TEXT),
     "norm_status": _q("SELECT row_number, status, CAST(n_issues AS BIGINT) AS n_issues FROM first_status", TEXT),
@@ -402,13 +402,18 @@ ORACLE: dict[str, str] = {
         service AS service_like_profile FROM busy""", PAIRS, BUSY),
     "shared_endpoint": _q("""SELECT endpoint, min(address) FILTER (n >= 2) AS subject_id, any_value(obs) AS observation_count,
         count(*) FILTER (n >= 2) AS distinct_addresses_observed, count(*) AS addresses_seen_at_endpoint,
-        array_to_string(list_sort(list(address) FILTER (n >= 2))[1:50], ',') AS addresses,
-        count(*) FILTER (n >= 2) > 50 AS addresses_truncated, count(*) FILTER (n >= 2) >= 20 AS looks_like_shared_infrastructure
+        count(*) FILTER (n >= 2) >= 20 AS looks_like_shared_infrastructure
         FROM (SELECT '10.0.' || c_nationkey || '.1' AS endpoint, address, count(*) AS n
               FROM adt JOIN o USING (k, txid) JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
         JOIN (SELECT '10.0.' || c_nationkey || '.1' AS endpoint, count(*) AS obs FROM o JOIN customer ON c_custkey = o_custkey
               GROUP BY ALL HAVING count(*) >= 3) USING (endpoint)
         GROUP BY endpoint HAVING count(*) FILTER (n >= 2) >= 3"""),
+    "shared_endpoint_addresses": _q("""SELECT endpoint, address, n AS sightings FROM (
+        SELECT '10.0.' || c_nationkey || '.1' AS endpoint, address, count(*) AS n
+        FROM adt JOIN o USING (k, txid) JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+        WHERE n >= 2 AND endpoint IN (SELECT '10.0.' || c_nationkey || '.1' FROM o JOIN customer ON c_custkey = o_custkey
+              GROUP BY ALL HAVING count(*) >= 3)
+        QUALIFY count(*) OVER (PARTITION BY endpoint) >= 3"""),
     "next_hop": _q("SELECT txid, address, next_txid, next_us FROM hop", HOPS),
     "peel_chains": _q("""SELECT chain, CAST(hop AS BIGINT) AS hop, txid, address, amount AS amount_sats,
         round_even(share, 4) AS share, round_even(gap, 2) AS gap_hours FROM hopped""", HOPS, CHAINS, recursive=True),

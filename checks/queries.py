@@ -220,13 +220,14 @@ def _clusters(spark, folder):
 
 @query
 def clusters(spark, folder):
-    return _clusters(spark, folder)[3]
+    return _clusters(spark, folder)[3].select("root", "address", "member_count")
 
 
 def _hypotheses(spark, folder):
     ledger, pairs, supported, members = _clusters(spark, folder)
     support = cocontrol.cluster_support(pairs, supported, members)
-    return cocontrol.cluster_hypotheses(supported, support, members, cocontrol.excluded_transactions(ledger, CONTROL)), members
+    found = cocontrol.cluster_hypotheses(supported, support, members, cocontrol.excluded_transactions(ledger, CONTROL))
+    return found, supported, members
 
 
 @query
@@ -238,7 +239,7 @@ def cluster_hypotheses(spark, folder):
 
 @query
 def cluster_edges(spark, folder):
-    return cocontrol.cluster_edges(_hypotheses(spark, folder)[0]).select("source", "target", "support", "strength")
+    return cocontrol.cluster_edges(*_hypotheses(spark, folder)).select("source", "target", "support", "strength")
 
 
 # --- features --------------------------------------------------------------------------
@@ -372,7 +373,14 @@ def shared_endpoint(spark, folder):
     endpoints = activity.endpoint_index(read_star_observations(spark, folder))
     return context.shared_ip(endpoints, read_star_ledger(spark, folder), SharedEndpoint()).select(
         "endpoint", "subject_id", "observation_count", "distinct_addresses_observed", "addresses_seen_at_endpoint",
-        F.array_join("addresses", ",").alias("addresses"), "addresses_truncated", "looks_like_shared_infrastructure")
+        "looks_like_shared_infrastructure")
+
+
+@query
+def shared_endpoint_addresses(spark, folder):
+    endpoints = activity.endpoint_index(read_star_observations(spark, folder))
+    ledger = read_star_ledger(spark, folder)
+    return context.shared_ip_addresses(context.shared_ip(endpoints, ledger, SharedEndpoint()), endpoints, ledger)
 
 
 # --- peeling ---------------------------------------------------------------------------

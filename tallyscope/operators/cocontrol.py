@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import entries
 from tallyscope.operators.components import connected_components
-from tallyscope.settings import CLUSTER_RULE, PAIR_LIMIT, RULE_SEVERITY, CommonControl
+from tallyscope.settings import CLUSTER_RULE, RULE_SEVERITY, CommonControl
+
+
+#: Inputs of a transaction that pair within one row; more are cut into chunks of this size.
+_CHUNK = 64
 
 
 def _with_inputs(marked: DataFrame) -> DataFrame:
@@ -19,27 +23,34 @@ def _with_inputs(marked: DataFrame) -> DataFrame:
 def co_input_pairs(marked: DataFrame, input_threshold: int | None = None) -> DataFrame:
     """(a, b, txid, ...) for every pair of distinct inputs, a < b.
 
-    Only transactions with at most twelve distinct inputs count, so a row yields at most 66
-    pairs and they are built inside the row.
+    Pairs are built inside the row. A transaction with very many inputs is cut into chunks first
+    and its pairs of chunks are spread over tasks; the result is the same.
     """
-    usable = _with_inputs(marked).where(~F.col("collaborative") & (F.size("members") <= PAIR_LIMIT))
+    usable = _with_inputs(marked).where(~F.col("collaborative"))
     if input_threshold is not None:
         usable = usable.where(F.col("input_count") < input_threshold)
+    usable = usable.select("txid", "ts_us", "discrepancy", "members")
+    narrow = usable.where(F.size("members") <= _CHUNK).withColumns({"left": F.col("members"), "right": F.col("members")})
+    chunks = F.transform(F.sequence(F.lit(1), F.size("members"), F.lit(_CHUNK)), lambda i: F.slice(F.col("members"), i, F.lit(_CHUNK)))
+    wide = (
+        usable.where(F.size("members") > _CHUNK).withColumn("chunks", chunks)
+        .select("*", F.posexplode("chunks").alias("at", "left"))
+        .withColumn("right", F.explode(F.slice(F.col("chunks"), F.col("at") + 1, F.size("chunks")))).drop("chunks", "at")
+        .repartition("txid", F.hash("left"), F.hash("right"))
+    )
     return (
-        usable.select("*", F.posexplode("members").alias("i", "a"))
-        .withColumn("b", F.explode(F.slice(F.col("members"), F.col("i") + 2, F.lit(PAIR_LIMIT))))
-        .select("a", "b", "txid", "ts_us", "discrepancy")
+        narrow.unionByName(wide).drop("members").withColumn("a", F.explode("left")).withColumn("b", F.explode("right"))
+        .where("a < b").select("a", "b", "txid", "ts_us", "discrepancy")
     )
 
 
 def excluded_transactions(marked: DataFrame, config: CommonControl) -> DataFrame:
     """Multi-input transactions the rule does not count, with the first reason that applies."""
     reason = (
-        F.when(F.col("collaborative"), F.lit("tagged CoinJoin-like (collaborative transaction)"))
+        F.when(F.col("collaborative"), F.lit("collaborative structure"))
         .when(F.col("input_count") >= config.collaborative_input_threshold,
-              F.format_string("%d inputs, collaborative threshold %d", "input_count",
+              F.format_string("inputs %d >= %d", "input_count",
                               F.lit(config.collaborative_input_threshold)))
-        .when(F.size("members") > PAIR_LIMIT, F.lit("too many distinct inputs to enumerate pairs"))
     )
     return _with_inputs(marked).withColumn("reason", reason).where("reason is not null").select(
         "txid", "members", "reason")
@@ -61,11 +72,14 @@ def repeated_partners(marked: DataFrame) -> DataFrame:
 
 
 def clusters(supported: DataFrame, config: CommonControl) -> DataFrame:
-    """(root, address, member_count) of every component of allowed size."""
+    """(root, address, member_count, oversized) of every component.
+
+    Components above ``max_cluster_size`` are kept and marked; only their member and edge arrays
+    are left out of the hypotheses, as the long tables hold them.
+    """
     nodes = connected_components(supported, "a", "b").select("root", F.col("node").alias("address"))
-    sizes = nodes.groupBy("root").agg(F.count("*").alias("member_count")).where(
-        F.col("member_count").between(2, config.max_cluster_size))
-    return nodes.join(sizes, "root")
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("member_count"))
+    return nodes.join(sizes, "root").withColumn("oversized", F.col("member_count") > config.max_cluster_size)
 
 
 def cluster_support(pairs: DataFrame, supported: DataFrame, members: DataFrame) -> DataFrame:
@@ -78,17 +92,20 @@ def cluster_hypotheses(supported: DataFrame, support: DataFrame, members: DataFr
                        excluded: DataFrame) -> DataFrame:
     """One row per cluster: members, scored edges, supporting and excluded transaction counts.
 
-    A cluster has at most ``max_cluster_size`` members, which bounds both arrays. Supporting and
-    excluded transactions are counted here and listed in their own long tables.
+    Arrays of members and edges are empty for oversized clusters, which bounds both; all members
+    are in ``clusters``, all edges in ``cluster_edges``. Supporting and excluded transactions are
+    counted here and listed in their own long tables.
     """
-    rooted = supported.join(members.select(F.col("address").alias("a"), "root", "member_count"), "a")
+    rooted = supported.join(members.select(F.col("address").alias("a"), "root", "member_count", "oversized"), "a")
+    listed = ~F.col("oversized")
     edges = rooted.groupBy("root").agg(
         F.count("*").alias("inferred_edge_count"),
-        F.array_sort(F.collect_list(F.struct("a", "b", "shared_transaction_count"))).alias("edges"),
+        F.array_sort(F.collect_list(F.when(listed, F.struct("a", "b", "shared_transaction_count")))).alias("edges"),
+        F.bool_or("oversized").alias("oversized"),
         F.sum("shared_transaction_count").alias("shared"),
         F.max("member_count").alias("member_count"),
     )
-    people = members.groupBy("root").agg(F.sort_array(F.collect_set("address")).alias("members"))
+    people = members.groupBy("root").agg(F.sort_array(F.collect_set(F.when(listed, F.col("address")))).alias("members"))
     tx = support.groupBy("root", "txid").agg(
         F.min("ts_us").alias("ts_us"), F.bool_or("discrepancy").alias("discrepancy"))
     supports = tx.groupBy("root").agg(
@@ -103,7 +120,7 @@ def cluster_hypotheses(supported: DataFrame, support: DataFrame, members: DataFr
         edges.join(people, "root").join(supports, "root").join(left_out, "root", "left")
         .select(
             F.concat(F.lit("clu_"), F.substring(F.sha2("root", 256), 1, 16)).alias("cluster_id"),
-            "root", "members", "member_count", "edges", "inferred_edge_count",
+            "root", "members", "member_count", "oversized", "edges", "inferred_edge_count",
             strength.alias("strength"),
             F.lit(CLUSTER_RULE).alias("rule_version"),
             "supporting_transaction_count",
@@ -147,14 +164,15 @@ def common_control(hypotheses: DataFrame, members: DataFrame, config: CommonCont
     )
 
 
-def cluster_edges(hypotheses: DataFrame) -> DataFrame:
-    """Inferred common-control edges, one per supported pair."""
-    return hypotheses.select("cluster_id", "strength", "rule_version", F.explode("edges").alias("e")).select(
-        F.concat(F.lit("addr:"), "e.a").alias("source"),
-        F.concat(F.lit("addr:"), "e.b").alias("target"),
-        F.concat_ws(":", F.lit("cc"), "cluster_id", "e.a", "e.b").alias("key"),
+def cluster_edges(hypotheses: DataFrame, supported: DataFrame, members: DataFrame) -> DataFrame:
+    """Inferred common-control edges, one per supported pair of every cluster."""
+    rooted = supported.join(members.select(F.col("address").alias("a"), "root"), "a")
+    return rooted.join(hypotheses.select("root", "cluster_id", "strength", "rule_version"), "root").select(
+        F.concat(F.lit("addr:"), "a").alias("source"),
+        F.concat(F.lit("addr:"), "b").alias("target"),
+        F.concat_ws(":", F.lit("cc"), "cluster_id", "a", "b").alias("key"),
         F.lit("candidate_common_control").alias("kind"),
         "rule_version",
         "strength",
-        F.col("e.shared_transaction_count").alias("support"),
+        F.col("shared_transaction_count").alias("support"),
     )

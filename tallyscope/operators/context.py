@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from tallyscope.functions import entries
 from tallyscope.functions.prefix import running_total
-from tallyscope.settings import RULE_SEVERITY, SHARED_ADDRESSES_SHOWN, Anomaly, HighActivity, SharedEndpoint
+from tallyscope.settings import RULE_SEVERITY, Anomaly, HighActivity, SharedEndpoint
 
 
 def endpoint_addresses(endpoints: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -23,7 +23,10 @@ def endpoint_addresses(endpoints: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def shared_ip(endpoints: DataFrame, ledger: DataFrame, config: SharedEndpoint) -> DataFrame:
-    """Endpoints at which several addresses keep appearing; an observation, never a merge."""
+    """Endpoints at which several addresses keep appearing; an observation, never a merge.
+
+    A finding has counts; the addresses themselves are rows of ``shared_ip_addresses``.
+    """
     times = ledger.select("txid", "ts_us")
     busy = (
         endpoints.join(times, "txid").groupBy("src_ip")
@@ -40,13 +43,7 @@ def shared_ip(endpoints: DataFrame, ledger: DataFrame, config: SharedEndpoint) -
              F.min(F.when(recurs, F.col("address"))).alias("subject_id"))
         .where(F.col("distinct_addresses_observed") >= config.min_recurring_addresses)
     )
-    shown = (
-        seen.where(recurs)
-        .withColumn("rank", F.row_number().over(W.partitionBy("src_ip").orderBy("address")))
-        .where(F.col("rank") <= SHARED_ADDRESSES_SHOWN)
-        .groupBy("src_ip").agg(F.sort_array(F.collect_list("address")).alias("addresses"))
-    )
-    return counts.join(busy, "src_ip").join(shown, "src_ip").select(
+    return counts.join(busy, "src_ip").select(
         "subject_id",
         F.concat(F.lit("ip:"), "src_ip").alias("context_id"),
         F.lit("unknown_role").alias("role_hypothesis"),
@@ -60,14 +57,20 @@ def shared_ip(endpoints: DataFrame, ledger: DataFrame, config: SharedEndpoint) -
         "addresses_seen_at_endpoint",
         "observation_count",
         F.lit(config.min_observations_per_address).alias("min_observations_per_address"),
-        "addresses",
-        (F.col("distinct_addresses_observed") > SHARED_ADDRESSES_SHOWN).alias("addresses_truncated"),
         (F.col("distinct_addresses_observed") >= config.infrastructure_address_count)
         .alias("looks_like_shared_infrastructure"),
         F.lit(False).alias("creates_ownership_edge"),
     )
 
 
+def shared_ip_addresses(findings: DataFrame, endpoints: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(endpoint, address, sightings): the recurring addresses behind each ``shared_ip`` finding."""
+    wanted = findings.select(F.col("endpoint").alias("src_ip"), "min_observations_per_address")
+    seen = endpoint_addresses(endpoints.join(wanted.select("src_ip"), "src_ip", "left_semi"), ledger)
+    return seen.join(wanted, "src_ip").where("sightings >= min_observations_per_address").select(
+        F.col("src_ip").alias("endpoint"), "address", "sightings")
+
+
 def activity_cut(activity: DataFrame, percentile: float) -> DataFrame:
     """Nearest-rank percentile of the per-address transaction counts, as one row.
 

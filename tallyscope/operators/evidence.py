@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tallyscope.functions import entries
-from tallyscope.settings import EVIDENCE_SHOWN
 
 _COLUMNS = ("detector", "subject_id", "context_id", "kind", "txid", "detail")
 
@@ -22,16 +20,6 @@ def _rows(df: DataFrame, detector: str, kind: str, **detail) -> DataFrame:
                      "txid", body.alias("detail"))
 
 
-def _first(df: DataFrame, detector: str) -> DataFrame:
-    """The earliest records per finding, as many as are shown for the detector.
-
-    The rank filter is applied per map task before the shuffle, so a hot subject sends at most
-    that many rows from each.
-    """
-    order = W.partitionBy("subject_id", "context_id").orderBy("ts_us", "txid")
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= EVIDENCE_SHOWN[detector]).drop("_n")
-
-
 def coinjoin_evidence(marked: DataFrame) -> DataFrame:
     df = marked.where("collaborative").withColumn("subject_id", F.col("txid")).withColumn("context_id", F.lit(""))
     return _rows(
@@ -95,15 +83,15 @@ def endpoint_evidence(shared: DataFrame, endpoints: DataFrame, ledger: DataFrame
         endpoints.join(shared.select(F.col("endpoint").alias("src_ip"), "subject_id", "context_id"), "src_ip")
         .join(ledger.select("txid", "ts_us"), "txid")
     )
-    return _rows(_first(df, "shared_ip_observation"), "shared_ip_observation", "observation",
+    return _rows(df, "shared_ip_observation", "observation",
                  observed_at=F.timestamp_micros("ts_us"), src_ip=F.col("src_ip"))
 
 
 def address_evidence(findings: DataFrame, detector: str, address_tx: DataFrame) -> DataFrame:
-    """The subject's own earliest transactions (high activity, anomaly)."""
+    """The subject's own transactions (high activity, anomaly)."""
     df = address_tx.select(F.col("address").alias("subject_id"), "txid", "ts_us").join(
         findings.select("subject_id", "context_id"), "subject_id")
-    return _rows(_first(df, detector), detector, "transaction", observed_at=F.timestamp_micros("ts_us"))
+    return _rows(df, detector, "transaction", observed_at=F.timestamp_micros("ts_us"))
 
 
 def with_row_numbers(evidence: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -27,7 +27,6 @@ from tallyscope.sources.tables import table_checksum
 SEED = 42
 TREES = 200
 SUBSAMPLE = 256
-QUANTILE_ROWS = 1_000_000
 MODEL_FORMAT = "isolation-forest-tables/v1"
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
@@ -60,21 +59,34 @@ def _long(frame: DataFrame) -> DataFrame:
 
 
 def feature_quantiles(frame: DataFrame, count: int | None = None) -> DataFrame:
-    """(feature, level, value): evenly spaced exact quantiles of every feature.
+    """(feature, level, value): evenly spaced exact quantiles of every feature, over all rows.
 
-    As in the reference fit, more than a million rows are first thinned to about a million by
-    address hash, so a feature's value table is bounded.
+    Cells become counts by (feature, value); their running total over a range sort gives each
+    value the block of ranks it covers, so no feature is one task or one buffer. A level lies at
+    rank level / (levels - 1) * (rows - 1) and is interpolated between the values at the whole
+    ranks around it; each value hands itself to the levels whose ranks fall in its block.
     """
     rows = frame.count()
     levels = count or min(1000, max(10, rows))
-    if rows > QUANTILE_ROWS:
-        keep = int(QUANTILE_ROWS / rows * (1 << 31))
-        frame = frame.where(F.pmod(F.xxhash64("address", F.lit(SEED)), F.lit(1 << 31)) < keep)
-    points = [i / (levels - 1) for i in range(levels)]
-    marks = F.array(*[F.lit(p) for p in points])
+    if not rows:
+        return frame.sparkSession.createDataFrame([], "feature string, level int, value double")
+    cells = _long(impute_constant(frame)).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    ranked = running_total(cells, ["feature", "value"], {"ahead": "n"}, "quantile-ranks")
+    base = ranked.groupBy("feature").agg(F.min("ahead").alias("base"))
+    blocks = ranked.join(F.broadcast(base), "feature").select(
+        "feature", "value", (F.col("ahead") - F.col("base")).alias("low"), (F.col("ahead") - F.col("base") + F.col("n")).alias("high"))
+    last, steps = rows - 1, levels - 1
+    at = F.expr(f"transform(sequence(0, {steps}), i -> named_struct('level', i, 'low_rank', i * {last}L div {steps}, 'rest', i * {last}L % {steps}))")
+    wanted = F.filter(at, lambda s: ((s["low_rank"] >= F.col("low")) & (s["low_rank"] < F.col("high")))
+                      | ((s["rest"] > 0) & (s["low_rank"] + 1 >= F.col("low")) & (s["low_rank"] + 1 < F.col("high"))))
+    near = blocks.select("feature", "value", "low", "high", F.explode(wanted).alias("s"))
+    under = F.when((F.col("s.low_rank") >= F.col("low")) & (F.col("s.low_rank") < F.col("high")), F.col("value"))
+    over = F.when((F.col("s.low_rank") + 1 >= F.col("low")) & (F.col("s.low_rank") + 1 < F.col("high")), F.col("value"))
     return (
-        _long(impute_constant(frame)).groupBy("feature").agg(F.percentile("value", marks).alias("v"))
-        .select("feature", F.posexplode("v").alias("level", "value"))
+        near.groupBy("feature", F.col("s.level").alias("level"), F.col("s.rest").alias("rest"))
+        .agg(F.max(under).alias("under"), F.max(over).alias("over"))
+        .select("feature", "level", F.when(F.col("rest") == 0, F.col("under")).otherwise(
+            (steps - F.col("rest")) / steps * F.col("under") + F.col("rest") / steps * F.col("over")).alias("value"))
     )
 
 
@@ -203,11 +215,12 @@ def fit_isolation_forest(scaled: DataFrame, trees: int = TREES, subsample: int =
 
 
 def anomaly_scores(scaled: DataFrame, nodes: DataFrame, subsample: int) -> DataFrame:
-    """(address, anomaly_score) in 0..1; larger is more unusual."""
+    """(address, anomaly_score) in 0..1; larger is more unusual.
+
+    The forest is broadcast: its size is trees times twice the subsample at most, set by the fit
+    and not by the data.
+    """
     forest = nodes.toPandas()
-    bound = TREES * 10 * (2 * SUBSAMPLE)
-    if len(forest) > bound:
-        raise ValueError(f"forest of {len(forest)} nodes exceeds the broadcast bound {bound}")
     trees = []
     for _, tree in forest.sort_values(["tree", "node"]).groupby("tree"):
         path = tree["depth"].to_numpy(dtype=float) + average_path(tree["size"].to_numpy())

@@ -11,8 +11,6 @@ from tallyscope.functions import entries
 from tallyscope.operators.evidence import evidence_counts, evidence_of
 
 FACETS = ("pattern", "priority_band", "evidence_strength", "review_state", "role_hypothesis")
-ADDRESS_TRANSACTIONS = 500
-ADDRESS_ENDPOINTS = 25
 
 
 def _page(df: DataFrame, order: Sequence, limit: int, offset: int) -> DataFrame:
@@ -151,9 +149,12 @@ def address_summary(activity: DataFrame, address: str) -> DataFrame:
         F.timestamp_micros("first_us").alias("first_seen"), F.timestamp_micros("last_us").alias("last_seen"))
 
 
-def address_transactions(address_tx: DataFrame, ledger: DataFrame, address: str) -> DataFrame:
-    """The first 500 transactions of an address with direction and amount."""
-    own = address_tx.where(F.col("address") == address).orderBy("ts_us", "txid").limit(ADDRESS_TRANSACTIONS)
+def address_transactions(address_tx: DataFrame, ledger: DataFrame, address: str, limit: int | None = None,
+                         offset: int = 0) -> DataFrame:
+    """Transactions of an address with direction and amount, oldest first; all, or one page."""
+    own = address_tx.where(F.col("address") == address)
+    if limit is not None:
+        own = _page(own, ["ts_us", "txid"], limit, offset)
     direction = F.when(F.col("spends") & F.col("receives"), "both").when(F.col("spends"), "out").otherwise("in")
     return own.join(ledger.select("txid", "observed_at", "row_number"), "txid").select(
         "txid", "observed_at", "row_number", direction.alias("direction"), "input_count", "output_count",
@@ -161,8 +162,12 @@ def address_transactions(address_tx: DataFrame, ledger: DataFrame, address: str)
         F.col("discrepancy").alias("amount_discrepancy")).orderBy("observed_at", "txid")
 
 
-def top_endpoints(ledger: DataFrame, observations: DataFrame, address: str | None = None) -> DataFrame:
-    """(address, src_ip, sightings): the 25 endpoints at which records of an address were seen most."""
+def top_endpoints(ledger: DataFrame, observations: DataFrame, address: str | None = None,
+                  limit: int | None = None) -> DataFrame:
+    """(address, src_ip, sightings, rank): endpoints at which records of an address were seen, most often first.
+
+    With ``limit`` only so many per address.
+    """
     people = F.array_distinct(F.concat(entries.addresses("inputs"), entries.addresses("outputs")))
     mine = ledger.select("txid", F.explode(people).alias("address"))
     if address is not None:
@@ -172,4 +177,5 @@ def top_endpoints(ledger: DataFrame, observations: DataFrame, address: str | Non
         .groupBy("address", "src_ip").agg(F.count("*").alias("sightings"))
     )
     order = W.partitionBy("address").orderBy(F.desc("sightings"), "src_ip")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ADDRESS_ENDPOINTS)
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)

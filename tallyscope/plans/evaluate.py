@@ -27,11 +27,14 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def joined(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    """Addresses on both sides with label, rule decision and the three ranking scores."""
+    """Addresses on both sides with label, rule decision and the three ranking scores.
+
+    A blank label counts as not suspicious.
+    """
     named = F.array_union("patterns", "transaction_patterns")
     return predictions.join(truth.withColumnRenamed("wallet_id", "address"), "address").select(
         "address",
-        (F.col("is_suspicious") == "1").alias("label"),
+        F.coalesce(F.col("is_suspicious") == "1", F.lit(False)).alias("label"),
         "pattern_type",
         named.alias("found"),
         binary_prediction(named).alias("flagged"),

@@ -92,14 +92,14 @@ def run_analysis(ledger: DataFrame, observations: DataFrame, config: DetectorCon
         support = stage(cocontrol.cluster_support(pairs, supported, members), "cluster-support")
         excluded = cocontrol.excluded_transactions(marked, rule)
         hypotheses = stage(cocontrol.cluster_hypotheses(supported, support, members, excluded), "hypotheses")
-        return members, support, excluded, hypotheses
+        return supported, members, support, excluded, hypotheses
 
     def endpoint_branch():
         return stage(context.shared_ip(endpoints, marked, config.shared_ip), "shared-ip")
 
     (profiles, frame, scores, status, error, busy), window_tx, hops, control, shared = side_by_side(
         marked.sparkSession, profile_branch, collection_branch, peel_branch, control_branch, endpoint_branch)
-    members, support, excluded, hypotheses = control
+    supported, members, support, excluded, hypotheses = control
 
     service_like = busy.where("service_like_profile").select(F.col("subject_id").alias("address"))
     candidates = collection.collection_candidates(marked, window_tx, address_tx, profiles, config.collection)
@@ -132,7 +132,7 @@ def run_analysis(ledger: DataFrame, observations: DataFrame, config: DetectorCon
         evidence.address_evidence(busy, "high_activity_context", address_tx),
         evidence.address_evidence(unusual, "statistical_anomaly", address_tx),
     ]), marked)
-    inferred = peeling.continuity_edges(hops, config.version).unionByName(cocontrol.cluster_edges(hypotheses))
+    inferred = peeling.continuity_edges(hops, config.version).unionByName(cocontrol.cluster_edges(hypotheses, supported, members))
     predictions = scoring.address_predictions(profiles, scores, findings, alerts, marked)
     stats = run_statistics(marked, observations, findings, scores, hypotheses, graded, config, status)
     return RunResult(
