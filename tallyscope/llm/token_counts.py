@@ -8,8 +8,10 @@ broadcast; all others are joined by a shuffle, which by construction holds no fr
 """
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -17,21 +19,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.llm.common import head_floor, keep, text_of
+from tallyscope.llm.common import head_floor, keep, short_batches, text_of
 
 #: The pre-token pattern and the special string of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 
 #: Pre-tokens that are broadcast at most (about 20 MB), whatever the corpus.
-HEAD = 250_000
-#: Chunks a task remembers, and pre-tokens it counts, before it starts anew; bounds memory only.
-REMEMBERED = 300_000
+HEAD = 200_000
+#: Chunks a task remembers (the first ones it meets), and pre-tokens it counts before it sends
+#: them on; bounds memory only.
+REMEMBERED = 150_000
 LIMIT = 512
 
 
+_STOPS = ".,;:!?"
+
+
+class _NotPlain(Exception):
+    """A chunk that is empty or begins or ends with white space."""
+
+
+class _Chunks(dict):
+    """Pre-tokens of a chunk behind a space, worked out when first asked for."""
+
+    def __init__(self, split) -> None:
+        super().__init__()
+        self._split = split
+
+    def __missing__(self, chunk: str) -> list[str]:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _NotPlain
+        body = chunk[:-1] if chunk[-1] in _STOPS else chunk
+        if body.isalpha() and (body.isascii() or max(body) < "\u0500"):
+            found = [" " + body] if body is chunk else [" " + body, chunk[-1]]
+        else:
+            found = self._split(" " + chunk)
+        if len(self) < REMEMBERED:
+            self[chunk] = found
+        return found
+
+
 class PreTokens:
-    """Pre-token frequencies of a text.
+    """Pre-token frequencies of texts.
 
     A text is cut at single spaces. A chunk that neither begins nor ends with white space has the
     same pre-tokens in any such place (its leading space belongs to it), so each distinct chunk is
@@ -44,41 +74,30 @@ class PreTokens:
 
         self._match = regex.compile(PATTERN).findall
         self._own = Tokenizer.from_file(tokenizer_path).pre_tokenizer
-        self._known: dict[str, tuple[str, ...] | None] = {}
+        self._chunks = _Chunks(self._split)
 
     def _split(self, text: str) -> list[str]:
         if text.isascii() or max(text) < "\u0500":
             return self._match(text)
         return [text[a:b] for _, (a, b) in self._own.pre_tokenize_str(text)]
 
-    def _chunk(self, chunk: str) -> tuple[str, ...] | None:
-        if chunk not in self._known:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            plain = chunk and not chunk[0].isspace() and not chunk[-1].isspace()
-            self._known[chunk] = tuple(self._split(" " + chunk)) if plain else None
-        return self._known[chunk]
-
-    def _add(self, text: str, counts: dict[str, int]) -> None:
-        first, *chunks = text.split(" ")
-        chunk = self._chunk
-        found = [(chunk(c), n) for c, n in Counter(chunks).items()]
-        if chunks and (not first or first[-1].isspace()) or any(pre is None for pre, _ in found):
-            found = [(self._split(text), 1)]
-        else:
-            found.append((self._split(first), 1))
-        for pre, n in found:
-            for piece in pre:
-                counts[piece] = counts.get(piece, 0) + n
-
-    def of(self, text: str) -> dict[str, int]:
-        counts: dict[str, int] = {}
+    def add(self, text: str, counts: Counter) -> None:
+        """Add the frequencies of a text to ``counts``."""
         parts = text.split(SPECIAL)
         if len(parts) > 1:
-            counts[SPECIAL] = len(parts) - 1
+            counts[SPECIAL] += len(parts) - 1
         for part in parts:
-            self._add(part, counts)
-        return counts
+            first, *chunks = part.split(" ")
+            if chunks and (not first or first[-1].isspace()):
+                counts.update(self._split(part))
+                continue
+            try:
+                found = list(map(self._chunks.__getitem__, chunks))
+            except _NotPlain:
+                counts.update(self._split(part))
+                continue
+            found.append(self._split(first))
+            counts.update(chain.from_iterable(found))
 
 
 _COUNTS = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType())])
@@ -91,11 +110,10 @@ def _counted(total: dict[str, int]) -> pa.RecordBatch:
 
 def _count(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, total = PreTokens(tokenizer_path), {}
+        split, total = PreTokens(tokenizer_path), Counter()
         for batch in batches:
             for text in batch.column(0):
-                for piece, n in split.of(text.as_py()).items():
-                    total[piece] = total.get(piece, 0) + n
+                split.add(text.as_py(), total)
                 if len(total) > REMEMBERED:
                     yield _counted(total)
                     total.clear()
@@ -109,14 +127,15 @@ _PIECES = T.StructType([*_COUNTS.fields, T.StructField("pieces", T.LongType())])
 
 def _pieces(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         for batch in batches:
             pre = batch.column(0).to_pylist()
             counts: list[int] = []
-            for at in range(0, len(pre), 4096):
-                counts += [len(e.ids) for e in tokenizer.encode_batch_fast(pre[at:at + 4096], add_special_tokens=False)]
+            for at in range(0, len(pre), 1024):
+                counts += [len(e.ids) for e in tokenizer.encode_batch_fast(pre[at:at + 1024], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["pre", "n", "pieces"])
 
@@ -136,9 +155,9 @@ def _per_document(tokenizer_path: str, head):
         for batch in batches:
             n_bytes, known, rare, freq = [], [], [], []
             for value in batch.column(2):
-                text = value.as_py()
-                total, names, times = 0, [], []
-                for piece, n in split.of(text).items():
+                total, names, times, counts = 0, [], [], Counter()
+                split.add(value.as_py(), counts)
+                for piece, n in counts.items():
                     got = pieces.get(piece)
                     if got is None:
                         names.append(piece)
@@ -168,7 +187,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     Null texts count as empty: no bytes, no tokens. Repeated rows and null ids give a row each;
     further columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark = short_batches(docs.sparkSession)
     pieces = keep(pre_token_pieces(docs, tokenizer_path), "pre-tokens")
     floor = head_floor(pieces, "n", HEAD)
     top = pieces.where(F.col("n") >= floor).select("pre", "pieces").toArrow()
