@@ -10,12 +10,12 @@ from tallyscope.operators.scoring import sensitivity
 from tallyscope.plans import case_queries, evaluate, export
 from tallyscope.plans.run import run_analysis
 from tallyscope.settings import DetectorConfig
-from tests.scenarios import mixed
+from tests.scenarios import harbour
 
 
 @pytest.fixture(scope="module")
 def run(spark):
-    result = import_rows(mixed().frame(spark))
+    result = import_rows(harbour().frame(spark))
     first = run_analysis(result.transactions, result.observations, run_id="r")
     return run_analysis(result.transactions, result.observations,
                         anomaly_model=model.fit_model(first.features, trees=50), run_id="r")
@@ -31,37 +31,38 @@ def _of(alerts, pattern):
 
 
 def test_mixing_rounds_only(alerts):
-    assert set(_of(alerts, "coinjoin_like")) == {f"{i:064x}" for i in (1, 2, 3)}
+    assert set(_of(alerts, "coinjoin_like")) == set(harbour().marks["veil"])
 
 
 def test_collection_and_participants(alerts):
-    collector = _of(alerts, "collection_pattern")["COLLECTOR"]
+    collector = _of(alerts, "collection_pattern")["basin"]
     values = json.loads(collector.indicators)
-    assert values["distinct_payers"] == 9 and values["subsequent_outflow_transactions"] == 1
-    assert {f"PAYER{i}" for i in range(9)} <= set(_of(alerts, "payment_participant"))
-    assert _of(alerts, "payment_participant")["PAYER0"].severity < collector.severity
-    service = _of(alerts, "collection_pattern").get("SERVICE")
+    assert values["distinct_payers"] == 12 and values["subsequent_outflow_transactions"] == 2
+    assert {f"giver{i}" for i in range(12)} <= set(_of(alerts, "payment_participant"))
+    assert _of(alerts, "payment_participant")["giver0"].severity < collector.severity
+    service = _of(alerts, "collection_pattern").get("counter")
     assert service is None or service.severity <= 30
 
 
 def test_peeling(alerts):
     peel = [a for a in alerts if a.pattern == "peeling_sequence"]
     chain = {a.subject_id: a.role_hypothesis for a in peel}
-    assert chain == {**{f"HOP{i}": "sequence_continuation" for i in range(1, 6)},
-                     **{f"SIDE{i}": "sequence_side_recipient" for i in range(5)}}
-    assert {json.loads(a.indicators)["hop_count"] for a in peel} == {5}
+    assert chain == {**{f"drip{i}": "sequence_continuation" for i in range(1, 8)},
+                     **{f"crumb{i}": "sequence_side_recipient" for i in range(7)}}
+    assert {json.loads(a.indicators)["hop_count"] for a in peel} == {7}
 
 
 def test_common_control_excludes_mixing(alerts, run):
-    assert set(_of(alerts, "common_control")) == {"WALLET_A", "WALLET_B"}
+    assert set(_of(alerts, "common_control")) == {"purse-a", "purse-b", "purse-c"}
     row = run.hypotheses.first()
-    assert (row.members, row.strength, row.edges[0].shared_transaction_count) == (["WALLET_A", "WALLET_B"], 0.375, 3)
+    assert (row.members, row.strength, [e.shared_transaction_count for e in row.edges]) == (
+        ["purse-a", "purse-b", "purse-c"], 0.5833, [4, 3])
 
 
 def test_context_findings_carry_no_severity(alerts):
-    shared = json.loads(_of(alerts, "shared_ip_observation")["IND0"].indicators)
-    assert shared["endpoint"] == "203.0.113.77" and shared["distinct_addresses_observed"] == 5
-    assert _of(alerts, "high_activity_context")["SERVICE"].role_hypothesis == "high_activity_service_like"
+    shared = json.loads(_of(alerts, "shared_ip_observation")["lodger0"].indicators)
+    assert shared["endpoint"] == "198.51.100.8" and shared["distinct_addresses_observed"] == 7
+    assert _of(alerts, "high_activity_context")["counter"].role_hypothesis == "high_activity_service_like"
     assert all(a.severity == 0 for a in alerts if a.pattern in ("shared_ip_observation", "high_activity_context"))
 
 
@@ -73,14 +74,14 @@ def test_every_alert_has_text_and_evidence(run, alerts):
 
 
 def test_same_input_same_alerts(spark, run, alerts):
-    again = import_rows(mixed().frame(spark).repartition(7))
+    again = import_rows(harbour().frame(spark).repartition(7))
     other = run_analysis(again.transactions, again.observations, run_id="r").alerts
     rules = lambda rows: sorted((a.alert_id, a.indicators) for a in rows if a.pattern != "statistical_anomaly")
     assert rules(other.collect()) == rules(alerts)
 
 
 def test_labels_do_not_matter(spark, alerts):
-    book = mixed()
+    book = harbour()
     for i, row in enumerate(book.rows):
         row["is_planted_suspicious"] = str(i % 2)
     changed = import_rows(book.frame(spark))
@@ -90,9 +91,9 @@ def test_labels_do_not_matter(spark, alerts):
 
 def test_predictions_and_evaluation(spark, run):
     rows = {r.address: r for r in run.predictions.collect()}
-    assert rows["MIX0"].transaction_patterns == ["coinjoin_like"] and rows["MIX0"].scored
+    assert rows["mask0"].transaction_patterns == ["coinjoin_like"] and rows["mask0"].scored
     truth = spark.createDataFrame(
-        [(a, "1" if a in ("COLLECTOR", "HOP3", "MIX0") else "0", "p") for a in rows if a != "STAFF0"] + [("GONE", "1", "p")],
+        [(a, "1" if a in ("basin", "drip3", "mask0") else "0", "p") for a in rows if a != "crew0"] + [("GONE", "1", "p")],
         "wallet_id string, is_suspicious string, pattern_type string")
     tables = evaluate.evaluate(run.predictions, truth)
     seen = tables["coverage"].first()
@@ -111,10 +112,10 @@ def test_graph_neighbourhood_is_bounded(run):
     edges = graph.overlay_inferred_edges(graph.graph_edges(run.ledger, run.ledger.limit(0).select(
         "txid", "row_number", F.lit("").alias("src_ip"), F.lit(0).alias("src_port"), F.lit("").alias("dst_ip"),
         F.lit(0).alias("dst_port"))), run.inferred_edges)
-    view = graph.neighbourhood(edges, ["addr:COLLECTOR", "addr:NOBODY"], hops=1, node_budget=5)
+    view = graph.neighbourhood(edges, ["addr:basin", "addr:NOBODY"], hops=1, node_budget=5)
     assert view.meta["truncated"] and view.meta["nodes_returned"] == 5 and view.meta["missing_seeds"] == ["addr:NOBODY"]
-    whole = graph.neighbourhood(edges, ["addr:WALLET_A"], hops=2, node_budget=300)
-    assert {r.id for r in whole.nodes.collect()} >= {"addr:WALLET_A", "addr:WALLET_B", "addr:DEST0"}
+    whole = graph.neighbourhood(edges, ["addr:purse-a"], hops=2, node_budget=300)
+    assert {r.id for r in whole.nodes.collect()} >= {"addr:purse-a", "addr:purse-b", "addr:shop0"}
     assert not whole.meta["truncated"]
 
 
@@ -122,7 +123,7 @@ def test_inbox_and_export(spark, run, tmp_path):
     page = case_queries.list_alerts(run.alerts, run.evidence, limit=5, pattern="payment_participant")
     assert page.count() == 5 and page.where("evidence_count < 1").isEmpty()
     facets = {(r.facet, r.value): r.n for r in case_queries.alert_facets(run.alerts).collect()}
-    assert facets["pattern", "coinjoin_like"] == 3
+    assert facets["pattern", "coinjoin_like"] == 4
     manifest = export.export_run(spark, run, str(tmp_path / "out"))
     assert manifest["tables"]["alerts"]["rows"] == run.alerts.count()
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out" / "alerts"))
