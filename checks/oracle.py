@@ -40,7 +40,7 @@ members_of AS (SELECT DISTINCT k, txid, ts, address FROM ins),
 member_n AS (SELECT k, count(*) AS n FROM members_of GROUP BY k),
 copairs AS (SELECT a.address AS a, b.address AS b, a.k, a.txid, a.ts FROM members_of a JOIN members_of b USING (k)
             JOIN tx USING (k) JOIN member_n USING (k)
-            WHERE a.address < b.address AND NOT collab AND n <= 12),
+            WHERE a.address < b.address AND NOT collab),
 usable AS (SELECT copairs.* FROM copairs JOIN tx USING (k) WHERE n_in < 5),
 sup AS (SELECT a, b, count(*) AS shared FROM usable GROUP BY ALL HAVING count(*) >= 3),
 partners AS (SELECT address, count(*) AS n FROM (
@@ -51,12 +51,12 @@ reach(node, other) AS (
   SELECT a, b FROM sup UNION SELECT b, a FROM sup
   UNION SELECT r.node, CASE WHEN s.a = r.other THEN s.b ELSE s.a END FROM reach r JOIN sup s ON s.a = r.other OR s.b = r.other),
 roots AS (SELECT node AS address, least(node, min(other)) AS root FROM reach GROUP BY node),
-sized AS (SELECT root, count(*) AS member_count FROM roots GROUP BY root HAVING count(*) BETWEEN 2 AND 200),
+sized AS (SELECT root, count(*) AS member_count FROM roots GROUP BY root HAVING count(*) >= 2),
 mem AS (SELECT root, address, member_count FROM roots JOIN sized USING (root)),
 cedge AS (SELECT root, member_count, a, b, shared FROM sup JOIN mem ON address = a),
 csup AS (SELECT DISTINCT root, txid, ts FROM usable JOIN cedge USING (a, b)),
 cexc AS (SELECT DISTINCT root, txid FROM members_of JOIN tx USING (k, txid) JOIN member_n USING (k) JOIN mem USING (address)
-         WHERE n >= 2 AND (collab OR n_in >= 5 OR n > 12)),
+         WHERE n >= 2 AND (collab OR n_in >= 5)),
 hyp AS (SELECT root, any_value(member_count) AS member_count, count(*) AS inferred_edge_count,
           round(least(1.0, sum(shared) / (any_value(member_count) * 4.0)), 4) AS strength FROM cedge GROUP BY root)
 """
@@ -356,9 +356,9 @@ ORACLE: dict[str, str] = {
         WHERE n_out >= 3 GROUP BY ALL"""),
     "co_input_pairs": _q("SELECT a, b, txid FROM usable", COSPEND),
     "supported_pairs": _q("SELECT a, b, shared AS shared_transaction_count FROM sup", COSPEND),
-    "excluded_transactions": _q("""SELECT txid, CASE WHEN collab THEN 'tagged CoinJoin-like (collaborative transaction)'
-        WHEN n_in >= 5 THEN n_in || ' inputs, collaborative threshold 5' ELSE 'too many distinct inputs to enumerate pairs' END AS reason
-        FROM tx JOIN member_n USING (k) WHERE n >= 2 AND (collab OR n_in >= 5 OR n > 12)""", COSPEND),
+    "excluded_transactions": _q("""SELECT txid, CASE WHEN collab THEN 'collaborative structure'
+        ELSE 'inputs ' || n_in || ' >= 5' END AS reason
+        FROM tx JOIN member_n USING (k) WHERE n >= 2 AND (collab OR n_in >= 5)""", COSPEND),
     "clusters": _q("SELECT root, address, member_count FROM mem", COSPEND, COMPONENTS, recursive=True),
     "cluster_hypotheses": _q("""SELECT root, member_count, inferred_edge_count, strength, supporting_transaction_count,
         coalesce(x, 0) AS excluded_transactions, start_us, end_us FROM hyp
