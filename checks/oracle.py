@@ -155,7 +155,7 @@ cells AS (SELECT row_number, k, copy, state, n_in, n_out, CASE WHEN k % 19 = 0 T
 JUDGED = """
 WITH pred AS (SELECT CAST(doc_id AS VARCHAR) AS address, CASE WHEN lang <> 'en' THEN CAST(n_chars AS DOUBLE) END AS pct,
     lang <> 'en' AS scored, n_chars > 1000 AS flagged, CAST(n_chars AS DOUBLE) AS priority, lang FROM documents),
-truth AS (SELECT CAST(doc_id AS VARCHAR) AS address, quality = 1 AS label, 'toxic_' || toxic AS pattern_type FROM labels),
+truth AS (SELECT CAST(doc_id AS VARCHAR) AS address, quality = 1 AND doc_id % 7 <> 0 AS label, 'toxic_' || toxic AS pattern_type FROM labels),
 j AS (SELECT * FROM pred JOIN truth USING (address)),
 v AS (SELECT address, label, 'rules_only' AS variant, CASE WHEN flagged THEN 1.0 ELSE 0.0 END AS score FROM j
       UNION ALL SELECT address, label, 'model_only', coalesce(pct, -1.0) FROM j
@@ -476,6 +476,15 @@ ORACLE: dict[str, str] = {
     "precision_at_k": JUDGED + """SELECT variant, CAST(k AS BIGINT) AS k, CAST(sum(CAST(label AS INTEGER)) AS BIGINT) AS hits,
         count(*) AS denominator, round(avg(CAST(label AS INTEGER)), 6) AS precision
         FROM r JOIN (SELECT unnest([20, 50, 100]) AS k) ON rank <= k GROUP BY ALL""",
+    "predicted_patterns": JUDGED + """SELECT pattern_type, found, count(*) AS n FROM (
+        SELECT pattern_type, 'peeling_sequence' AS found FROM j WHERE flagged
+        UNION ALL SELECT pattern_type, 'shared_ip_observation' FROM j WHERE priority % 2 = 0) GROUP BY ALL""",
+    "truth_counts": """SELECT c_mktsegment AS pattern_type, CASE WHEN c_acctbal < 0 THEN '1' ELSE '0' END AS is_suspicious, count(*) AS n
+        FROM customer GROUP BY ALL""",
+    "pattern_endpoints": _q("""SELECT '10.0.' || c_nationkey || '.1' AS src_ip, count(*) AS sightings FROM o JOIN customer ON c_custkey = o_custkey
+        WHERE txid IN (SELECT txid FROM adt JOIN customer c ON address = 'A' || c.c_custkey WHERE c.c_mktsegment = 'BUILDING') GROUP BY ALL"""),
+    "alerts_for_address": INBOX + """SELECT alert_id, pattern, upper(pattern) AS pattern_label, priority, priority_band
+        FROM inbox WHERE subject_id = '1'""",
     "per_pattern": JUDGED + """SELECT pattern_type, count(*) AS support, count(*) FILTER (flagged) AS flagged_by_rules,
         count(*) FILTER (label) AS labelled_suspicious, round(avg(CAST(flagged AS INTEGER)), 6) AS recall_within_pattern FROM j GROUP BY pattern_type""",
     "per_role": JUDGED + "SELECT lang AS role, pattern_type, count(*) AS n FROM j GROUP BY ALL",

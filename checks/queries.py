@@ -546,7 +546,7 @@ def _judged(spark, folder):
         F.col("n_chars").cast("double").alias("review_priority"),
         F.array("lang").alias("roles"))
     truth = labels.select(
-        F.col("doc_id").cast("string").alias("wallet_id"), F.col("quality").cast("string").alias("is_suspicious"),
+        F.col("doc_id").cast("string").alias("wallet_id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("quality").cast("string")).alias("is_suspicious"),
         F.concat(F.lit("toxic_"), F.col("toxic").cast("string")).alias("pattern_type"))
     return predictions, truth
 
@@ -561,6 +561,11 @@ def confusion(spark, folder):
     return _rounded(evaluate.confusion(evaluate.joined(*_judged(spark, folder))))
 
 
+@query
+def predicted_patterns(spark, folder):
+    return evaluate.predicted_patterns(evaluate.joined(*_judged(spark, folder)))
+
+
 @query
 def average_precision(spark, folder):
     return _rounded(evaluate.average_precision(evaluate.ranking_variants(evaluate.joined(*_judged(spark, folder)))))
@@ -596,6 +601,17 @@ def profile_truth(spark, folder):
         _customer_truth(spark, folder), activity.tx_io(read_star_ledger(spark, folder)).select("address"))
 
 
+@query
+def truth_counts(spark, folder):
+    return profile.truth_counts(_customer_truth(spark, folder))
+
+
+@query
+def pattern_endpoints(spark, folder):
+    return profile.pattern_endpoints(
+        _customer_truth(spark, folder), read_star_ledger(spark, folder), read_star_observations(spark, folder), "BUILDING")
+
+
 @query
 def pattern_touch_counts(spark, folder):
     return profile.pattern_touch_counts(_customer_truth(spark, folder), read_star_ledger(spark, folder))
@@ -613,6 +629,12 @@ def _inbox(spark, folder):
         F.concat(F.lit("role_"), F.col("event_type")).alias("role_hypothesis"))
 
 
+@query
+def alerts_for_address(spark, folder):
+    inbox = _inbox(spark, folder).withColumn("pattern_label", F.upper("pattern"))
+    return case_queries.alerts_for_address(inbox, "1").select("alert_id", "pattern", "pattern_label", "priority", "priority_band")
+
+
 @query
 def alert_facets(spark, folder):
     return case_queries.alert_facets(_inbox(spark, folder))
