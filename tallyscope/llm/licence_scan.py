@@ -82,8 +82,9 @@ NO_NOTICES: tuple[str, ...] = (
     "We use cookies to provide our services and to analyse traffic.", "The foundation published a list of the conditions.",
 )
 FAMILIES = (*NOTICES, UNKNOWN)
-#: Training paragraphs taken from the corpus at most, gradient rounds, step, weight decay.
+#: Documents and paragraphs of the corpus that training takes at most, gradient rounds, step, weight decay.
 SAMPLE_DOCUMENTS = 400
+SAMPLE_PARAGRAPHS = 4000
 ROUNDS = 12
 STEP = 0.7
 DECAY = 0.002
@@ -124,8 +125,11 @@ def training_paragraphs(docs: DataFrame) -> DataFrame:
         F.slice("words", F.floor(size * i / n).cast("int") + 1, F.greatest(F.ceil(size / n).cast("int"), F.lit(3)))
         for n in (2, 3) for i in range(n)]
     known = notices.select("family", F.explode(F.array(*parts)).alias("words")).where(F.size("words") >= 2)
-    sample = docs.select(text_of(docs).alias("text"), F.xxhash64("doc_id").alias("at")).orderBy("at").limit(SAMPLE_DOCUMENTS)
-    corpus = sample.select(F.explode(F.split("text", "\n")).alias("text")).select(words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    at = F.xxhash64("doc_id").alias("at")
+    picked = docs.select(at).distinct().orderBy("at").limit(SAMPLE_DOCUMENTS)
+    sample = docs.select(text_of(docs).alias("text"), at).join(F.broadcast(picked), "at", "left_semi")
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS)
+    corpus = lines.select(words(F.col("text")).alias("words")).where(F.size("words") > 0)
     pairs = notices.where(F.col("family") != UNKNOWN).select(
         F.explode(n_grams(F.col("words"))).alias("gram")).where("gram like '% %'").distinct().orderBy("gram").collect()
     of_notices = F.array(*[F.lit(r["gram"]) for r in pairs])  # as many as the fixed wordings have
@@ -160,7 +164,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, float]:
 
     Features are n-grams of the notices that fewer than one in fifty unknown paragraphs have; so
     the table's size is bounded by the notices' text. Training starts from log-ratios of smoothed
-    counts and takes ``ROUNDS`` full gradient steps; families weigh alike.
+    counts and takes ``ROUNDS`` full gradient steps; families weigh alike. The examples are few by
+    the bounds above and lie in one partition, so a round needs no shuffle.
     """
     every = keep(training_paragraphs(docs), "licence-examples")
     strange = every.where(F.col("family") == UNKNOWN)
@@ -170,7 +175,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, float]:
     bias = every.select("example", "family", "held").distinct().withColumn("gram", F.lit(""))
     used = keep(every.join(F.broadcast(features), "gram").select("example", "family", "held", "gram").unionByName(bias), "licence-features")
     sizes = used.where("not held and gram = ''").groupBy("family").agg(F.count("*").alias("n"))
-    fit = keep(used.where("not held").join(F.broadcast(sizes), "family").withColumn("share", 1.0 / F.col("n")).drop("n", "held"), "licence-fit")
+    fit = keep(used.where("not held").join(F.broadcast(sizes), "family").withColumn("share", 1.0 / F.col("n")).drop("n", "held"), "licence-fit").coalesce(1)
     by_family = {f: F.sum(F.when(F.col("family") == f, F.col("share")).otherwise(0.0)) for f in FAMILIES}
     counts = fit.groupBy("gram").agg(F.count("*").alias("n"), *[by_family[f].alias(w) for f, w in zip(FAMILIES, _columns("w"))])
     mean = sum([F.log(F.col(w) + 0.02) for w in _columns("w")[1:]], F.log(F.col("w0") + 0.02)) / len(FAMILIES)
@@ -181,8 +186,8 @@ def train(docs: DataFrame) -> tuple[DataFrame, float]:
         wrong = chance.select("example", "share", *[
             (((F.col("family") == f).cast("double") - F.col(p)) * F.col("share")).alias(e)
             for f, p, e in zip(FAMILIES, _columns("p"), _columns("e"))])
-        slope = fit.select("example", "gram").join(wrong, "example").groupBy("gram").agg(*[F.sum(e).alias(e) for e in _columns("e")])
-        weights = keep(weights.join(slope, "gram").select("gram", "n", *[
+        slope = fit.select("example", "gram").join(F.broadcast(wrong), "example").groupBy("gram").agg(*[F.sum(e).alias(e) for e in _columns("e")])
+        weights = keep(weights.coalesce(1).join(F.broadcast(slope), "gram").select("gram", "n", *[
             (F.col(w) * (1 - DECAY) + STEP * 4 * F.col(e)).alias(w) for w, e in zip(_columns("w"), _columns("e"))]), "licence-weights")
     held = _probabilities(_scores(used.where(F.col("held") & (F.col("family") == UNKNOWN)), weights, ("example",)))
     best = held.agg(F.percentile(F.greatest(*_columns("p")[:-1]), F.lit(0.995)).alias("limit")).first()["limit"]
