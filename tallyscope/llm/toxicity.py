@@ -64,6 +64,14 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (bucket[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(raw))
 
 
+def _grams_of(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`grams` of many words in small steps and narrow integers."""
+    parts = [grams(words[at:at + at_once]) for at in range(0, len(words), at_once)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([p[0].astype(np.int32) for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def bare(word: str) -> str:
     return word.strip(_EDGES).lower()
 
@@ -114,8 +122,8 @@ def _passages(texts: list[str], ids: dict[str, int]) -> list[tuple[np.ndarray, n
     out = []
     for text in texts:
         words = [bare(w) for w in text.split()]
-        numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-        out.append((numbers, np.arange(len(words)) // PASSAGE))
+        numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
+        out.append((numbers, np.arange(len(words), dtype=np.int32) // PASSAGE))
     return out
 
 
@@ -167,7 +175,7 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
     """Mini-batches with adaptive steps over documents cut into passages."""
     ids: dict[str, int] = {}
     docs = _passages(texts, ids)
-    buckets, n = grams(list(ids))
+    buckets, n = _grams_of(list(ids))
     begin = np.cumsum(n) - n
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSION))
