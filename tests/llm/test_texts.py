@@ -7,13 +7,14 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tallyscope.llm import hidden_markov, jpeg_media, simhash_near, token_counts, toxicity
+from tallyscope.llm import hidden_markov, jpeg_media, shingle_near, simhash_near, token_counts, toxicity
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, n_tokens string, row long, fp long, score double"
@@ -134,6 +135,41 @@ def test_chain_filter_loses_no_pair():
         assert any(equal[k] for k in kept)
 
 
+def _five(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i:i + 5]) for i in range(max(len(words) - 4, 1)))
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_copies_of_the_pipeline(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_near, "BLOCK", block)
+    rows = _near_rows()
+    # a different text under the same dominating shingles: near fingerprints, no copy
+    rows += [(9000 + i, "la " * 400 + " ".join(f"{name}{k}" for k in range(40)), "", 0, 0, 0.0) for i, name in enumerate("xy")]
+    sets = {r[1]: _five(r[1]) for r in rows}
+    texts = list(sets)
+    group = {t: t for t in texts}
+
+    def root(t):
+        while group[t] != t:
+            t = group[t]
+        return t
+
+    for i, a in enumerate(texts):
+        for b in texts[i + 1:]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group[root(b)] = root(a)
+    low = {}
+    for doc, text, *_ in rows:
+        if doc is not None:
+            low[root(text)] = min(low.get(root(text), doc), doc)
+    df = spark.createDataFrame(rows, DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(low.values())
+    assert {9000, 9001} <= set(low.values()) and kept[0].__fields__ == df.columns
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_stored_texts(spark, texts):
     rows = _rows(texts + ["ÿ" * 300_000])
     for r in jpeg_media.stored_texts(spark.createDataFrame(rows, DOCS)).collect():
