@@ -1,22 +1,25 @@
 """Main text of web pages by site style trees.
 
 Pages of one host share templates. Their element trees are merged: nodes with the same path of
-element names (with class and id) are one node of the host's style tree. For every node two
-distributions over the host's pages are kept, the sequences of its children (presentation) and the
-texts below it (content); their normalised entropies make its importance. Template parts look the
-same everywhere and get a low one; branches below ``IMPORTANT`` are removed from each page. Names
-that say what a part is for (menu, advert, comments, article, ...) scale the importance, and decide
-alone on hosts with too few different pages to compare.
-
-Only counts by (host, node, hash) are shuffled, combined per task first, so a host with a third of
-all pages is many keys; what goes back to the pages is the short list of nodes a host removes.
+element names (with class, id and role) are one node of the host's style tree. For every node two
+distributions over the host's different pages are kept, the sequences of its children (presentation)
+and the texts below it (content); their normalised entropies make its importance, content alone that
+of a node without child elements. Template parts look the same everywhere and get a low one; branches
+below ``IMPORTANT`` are removed from each page, unless they hold most of its text. Names in class, id
+and role (sidebar, comments, content, ...; whole tokens) scale the importance, and decide alone for
+nodes with too few different pages to compare. Elements that say what they are decide: nav, footer,
+aside and the like go while other text is left, and article or main is all that counts if there is one.
+
+Pages are told apart by their text, before anything is counted. Only the nodes of different pages and
+counts by (host, node, hash) are shuffled, so a host with a third of all pages is many keys; what goes
+back to the pages is the short list of nodes a host removes.
 """
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +32,10 @@ from tallyscope.llm.common import keep, short_batches
 IMPORTANT = 0.25
 #: Different pages a host must have before its own templates count.
 COMPARED = 3
+#: Entropies are divided by the logarithm of the pages that hold the node, at most so many: a larger host needs no more variety.
+VARIETY = 64
+#: Factors of importance for names beside the main text and of the main text.
+BESIDE, INSIDE = 0.4, 2.0
 
 #: Elements that begin a block, that never have content, whose content is no markup.
 BLOCKS = frozenset(
@@ -44,8 +51,9 @@ CLOSED_BY = {
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
     "head": frozenset(["body"]),
 }
-#: Elements, and words in class, id or role, that name parts beside the main text.
-ASIDE_TAGS = frozenset("head nav footer aside form button select label iframe object video audio canvas svg template noscript dialog menu search".split())
+#: Elements that are not rendered as text; elements, and tokens of class, id or role, beside the main text.
+UNSEEN = frozenset("head template noscript svg canvas iframe object video audio".split())
+ASIDE_TAGS = frozenset("nav footer aside form button select label dialog menu search".split())
 ASIDE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs header masthead topbar footer sidebar aside widget related recommended share sharing social comment comments "
@@ -62,8 +70,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(
+    r"(?:^|[\s\"'])(?:hidden(?=[\s/]|$|\s*=)(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true\b|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.I)
+_QUOTED = re.compile(r"(\b(?!style\b|aria-hidden\b|hidden\b)[\w:-]+\s*=\s*)(?:\"[^\"]*\"|'[^']*')", re.I)
 
 
 def _hash(data: bytes) -> int:
@@ -71,41 +80,51 @@ def _hash(data: bytes) -> int:
 
 
 class _Node:
-    """An open element: its label, its path in the style tree, whether it is beside or inside the main text."""
-    __slots__ = ("tag", "path", "beside", "main", "children", "texts")
+    """An open element: its label, its path in the style tree, and what it says of the text below it."""
+    __slots__ = ("tag", "path", "name", "unseen", "side", "article", "children", "texts")
 
-    def __init__(self, tag: str, path: bytes, beside: bool, main: bool) -> None:
-        self.tag, self.path, self.beside, self.main = tag, path, beside, main
+    def __init__(self, tag: str, path: bytes, name: int, unseen: bool, side: bool, article: bool) -> None:
+        self.tag, self.path, self.name, self.unseen, self.side, self.article = tag, path, name, unseen, side, article
         self.children: list[bytes] = []
         self.texts: list[bytes] = []
 
 
-_LABELS: dict[tuple[str, str], tuple[bytes, bool, bool]] = {}
+class Block(NamedTuple):
+    """A text with the hashes of the paths above it, those named beside and inside the main text, and its elements' say."""
+    paths: tuple[int, ...]
+    beside: tuple[int, ...]
+    inside: tuple[int, ...]
+    side: bool
+    article: bool
+    text: str
 
 
-def _label(tag: str, attributes: str) -> tuple[bytes, bool, bool]:
-    """Label of an element in the style tree, and whether its names put it beside or into the main text."""
+_LABELS: dict[tuple[str, str], tuple[bytes, int, bool]] = {}
+
+
+def _label(tag: str, attributes: str) -> tuple[bytes, int, bool]:
+    """Label of an element in the style tree; -1, 0 or 1 as its names put it beside or into the main text; whether it is hidden."""
     known = _LABELS.get((tag, attributes))
     if known:
         return known
     names = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
-    words = {w for _, value in names for w in _WORD.findall(value.lower())}
-    main = tag in MAIN_TAGS or bool(words & MAIN_WORDS) and not words & ASIDE_WORDS
-    beside = (tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or bool(_HIDDEN.search(attributes))) and tag not in ("html", "body", "article", "main")
-    label = tag + "".join(f" {k}={v}" for k, v in sorted(names) if k != "role")
-    found = (label.encode("utf-8", "replace"), beside, main)
+    tokens = {w for _, value in names for w in value.lower().split()}
+    name = 0 if tag in ("html", "body") else bool(tokens & MAIN_WORDS) - bool(tokens & ASIDE_WORDS)
+    hidden = tag not in ("html", "body") and bool(_HIDDEN.search(_QUOTED.sub(r"\1x", attributes)))
+    label = tag + "".join(f" {k}={v}" for k, v in sorted(names))
+    found = (label.encode("utf-8", "replace"), name, hidden)
     if len(_LABELS) < 20_000:
         _LABELS[tag, attributes] = found
     return found
 
 
-def page_blocks(page: str, nodes: Counter | None = None) -> list[tuple[tuple[int, ...], bool, str]]:
-    """Text blocks outside named side parts: hashes of the paths above, whether inside a main part, text.
+def page_blocks(page: str, nodes: dict | None = None) -> list[Block]:
+    """All text blocks that are rendered.
 
-    With ``nodes``, (path hash, 0 or 1, hash) is counted there for every element and its sequence
-    of children (0) or the text below it (1).
+    With ``nodes``, (path hash, 0 or 1, name) gets the hashes of the sequences of children (0, if
+    there are child elements) and of the texts below (1) of every element; path 0 stands for the page.
     """
-    root = _Node("", b"", False, False)
+    root = _Node("", b"", 0, False, False, False)
     stack, blocks, buffer = [root], [], []
 
     def flush() -> None:
@@ -115,18 +134,21 @@ def page_blocks(page: str, nodes: Counter | None = None) -> list[tuple[tuple[int
         buffer.clear()
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         top = stack[-1]
-        if text and not top.beside:
+        if text and not top.unseen:
             top.texts.append(text.encode("utf-8", "replace"))
             top.children.append(b"#")
-            blocks.append((tuple(_hash(n.path) for n in stack[1:]), top.main, text))
+            paths = [(_hash(n.path), n.name) for n in stack[1:]]
+            blocks.append(Block(tuple(p for p, _ in paths), tuple(p for p, n in paths if n < 0), tuple(p for p, n in paths if n > 0),
+                                top.side, top.article, text))
 
     def close() -> None:
         node = stack.pop()
         stack[-1].texts += node.texts
-        if nodes is not None and not node.beside:
+        if nodes is not None and not node.unseen:
             path = _hash(node.path)
-            nodes[path, 0, _hash(b"\x00".join(node.children))] += 1
-            nodes[path, 1, _hash(b"\x00".join(node.texts))] += 1
+            if any(c != b"#" for c in node.children):
+                nodes.setdefault((path, 0, node.name), []).append(_hash(b"\x00".join(node.children)))
+            nodes.setdefault((path, 1, node.name), []).append(_hash(b"\x00".join(node.texts)))
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -153,12 +175,11 @@ def page_blocks(page: str, nodes: Counter | None = None) -> list[tuple[tuple[int
             continue
         while tag in CLOSED_BY.get(stack[-1].tag, ()):
             close()
-        label, beside, main = _label(tag, token[4])
+        label, name, hidden = _label(tag, token[4])
         above = stack[-1]
-        if tag == "header" and not above.main:
-            beside = True
+        side = tag in ASIDE_TAGS or tag == "header" and not any(n.article or n.name > 0 for n in stack)
         above.children.append(label)
-        node = _Node(tag, above.path + b"/" + label, above.beside or beside, above.main or main)
+        node = _Node(tag, above.path + b"/" + label, name, above.unseen or hidden or tag in UNSEEN, above.side or side, above.article or tag in MAIN_TAGS)
         if token[4].endswith("/") and tag in ("svg", "iframe"):
             continue
         stack.append(node)
@@ -168,21 +189,32 @@ def page_blocks(page: str, nodes: Counter | None = None) -> list[tuple[tuple[int
     while len(stack) > 1:
         close()
     if nodes is not None:
-        nodes[0, 1, _hash(b"\x00".join(root.texts))] += 1
+        nodes[0, 1, 0] = [_hash(b"\x00".join(root.texts))]
     return blocks
 
 
-def main_text(page: str, removed: frozenset[int]) -> str:
-    """The blocks in page order, without the branches in ``removed``.
+def _most(part: list[Block], whole: list[Block]) -> bool:
+    return 2 * sum(len(b.text) for b in part) > sum(len(b.text) for b in whole)
+
 
-    If the page has a named main part with text, only that counts; if nothing is left, the
-    removal is not applied.
+def main_text(page: str, removed: frozenset[int] | None) -> str:
+    """The blocks in page order, without the branches in ``removed``; without a list, names decide.
+
+    Branches with most of the page's text stay. If the page has an article or main element with
+    text, or if named main parts hold most of the text, only that counts; what would leave nothing
+    is not applied.
     """
     blocks = page_blocks(page)
-    kept = [b for b in blocks if removed.isdisjoint(b[0])] if removed else blocks
-    kept = kept or blocks
-    inside = [b for b in kept if b[1]]
-    return " ".join(b[2] for b in inside or kept)
+    kept = [b for b in blocks if not b.side] or blocks
+    under: dict[int, list[Block]] = {}
+    for b in kept:
+        for path in set(b.beside if removed is None else removed.intersection(b.paths)):
+            under.setdefault(path, []).append(b)
+    gone = {path for path, part in under.items() if not _most(part, kept)}
+    kept = [b for b in kept if gone.isdisjoint(b.paths)] or kept
+    article = [b for b in kept if b.article]
+    named = [b for b in kept if b.inside]
+    return " ".join(b.text for b in article or (named if _most(named, kept) else kept))
 
 
 def host_of(url) -> object:
@@ -190,47 +222,45 @@ def host_of(url) -> object:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-_COUNTS = T.StructType([
-    T.StructField("host", T.StringType()), T.StructField("path", T.LongType()), T.StructField("kind", T.IntegerType()),
-    T.StructField("hash", T.LongType()), T.StructField("n", T.LongType()),
+_NODES = T.StructType([
+    T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("path", T.ArrayType(T.LongType())),
+    T.StructField("kind", T.ArrayType(T.IntegerType())), T.StructField("name", T.ArrayType(T.IntegerType())), T.StructField("hash", T.ArrayType(T.LongType())),
 ])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hosts: dict[str, Counter] = {}
-
-    def out() -> pa.RecordBatch:
-        rows = [(host, *key, n) for host, counts in hosts.items() for key, n in counts.items()]
-        hosts.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-            names=_COUNTS.fieldNames())
-
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page: its text's hash, and each of its nodes once."""
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
     for batch in batches:
+        rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            page_blocks(page.as_py(), hosts.setdefault(host, Counter()))
-        if sum(map(len, hosts.values())) > 50_000:
-            yield out()
-    yield out()
+            nodes: dict = {}
+            page_blocks(page.as_py(), nodes)
+            rows.append((host, nodes.pop((0, 1, 0))[0], *([k[i] for k in nodes] for i in range(3)),
+                         [v[0] if len(v) == 1 else _hash(str(v).encode()) for v in nodes.values()]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=_NODES.fieldNames())
 
 
 def removed_nodes(pages: DataFrame) -> DataFrame:
-    """(host, removed): hashes of the paths whose importance is low, for hosts that have any.
+    """(host, removed): hashes of the paths whose importance is low, for hosts with enough different pages.
 
-    ``pages`` has host and html. Importance is the mean of the two entropies, each divided by the
-    logarithm of the number of occurrences, so it is 1 if no two occurrences agree.
+    ``pages`` has host and html. A page counts a node once, with all its occurrences; importance is
+    the mean of the entropies, each divided by the logarithm of the pages that hold the node.
     """
-    counts = pages.select("host", "html").mapInArrow(_count, _COUNTS).groupBy("host", "path", "kind", "hash").agg(F.sum("n").alias("n"))
-    spread = counts.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("total"), F.count("*").alias("different"), F.sum(F.col("n") * F.log("n")).alias("bits"))
-    entropy = F.when(F.col("total") > 1, (F.log("total") - F.col("bits") / F.col("total")) / F.log("total")).otherwise(1.0)
-    importance = spread.groupBy("host", "path").agg(
-        F.avg(entropy).alias("importance"), F.max("total").alias("total"),
-        F.max(F.when(F.col("path") == 0, F.col("different"))).alias("pages"))
-    per_host = importance.groupBy("host").agg(
-        F.max("pages").alias("pages"),
-        F.collect_set(F.when((F.col("path") != 0) & (F.col("total") >= COMPARED) & (F.col("importance") < IMPORTANT), F.col("path"))).alias("removed"))
-    return per_host.where((F.col("pages") >= COMPARED) & (F.size("removed") > 0)).select("host", "removed")
+    different = keep(pages.select("host", "html").mapInArrow(_nodes, _NODES).dropDuplicates(["host", "page"]), "page-nodes")
+    counts = (
+        different.select("host", F.explode(F.arrays_zip("path", "kind", "name", "hash")).alias("x")).select("host", "x.*")
+        .groupBy("host", "path", "kind", "name", "hash").agg(F.count("*").alias("n"))
+    )
+    spread = counts.groupBy("host", "path", "kind", "name").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("bits"))
+    entropy = F.when(F.col("total") > 1, F.least(
+        (F.log("total") - F.col("bits") / F.col("total")) / F.log(F.least("total", F.lit(VARIETY))), F.lit(1.0))).otherwise(1.0)
+    scale = F.when(F.col("name") < 0, BESIDE).when(F.col("name") > 0, INSIDE).otherwise(1.0)
+    importance = spread.groupBy("host", "path", "name").agg(F.avg(entropy).alias("importance"), F.max("total").alias("total"))
+    low = F.when(F.col("total") < COMPARED, F.col("name") < 0).otherwise(F.col("importance") * scale < IMPORTANT)
+    removed = importance.where(low).groupBy("host").agg(F.collect_set("path").alias("removed"))
+    enough = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= COMPARED)
+    return enough.join(removed, "host", "left").select("host", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")).alias("removed"))
 
 
 _TEXTS = T.StructType([
@@ -241,7 +271,7 @@ _TEXTS = T.StructType([
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page.as_py(), frozenset(removed.as_py() or ())) for page, removed in zip(batch.column(2), batch.column(3))]
+        texts = [main_text(page.as_py(), frozenset(removed.as_py()) if removed.is_valid else None) for page, removed in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=_TEXTS.fieldNames())

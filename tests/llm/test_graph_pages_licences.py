@@ -109,6 +109,40 @@ def test_importance_is_entropy(spark):
     assert removed[0].removed == [site_style._hash(b"/div class=a")]
 
 
+def _texts(spark, bodies, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", b, "", "", "") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in site_style.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+@pytest.mark.parametrize("attributes", ["class='has-sidebar content'", "class='entry-content with-comments'", "class='content no-sidebar'",
+                                        "class='overflow-hidden'", "aria-hidden='false'", "class='sidebar'"])
+@pytest.mark.parametrize("pages", [1, 9])
+def test_names_do_not_drop_the_text(spark, attributes, pages):
+    bodies = [f"<nav>all {i}</nav><div {attributes}><p>The story number {i} is told here at length</p></div><div class=x>same</div>" for i in range(pages)]
+    got = _texts(spark, bodies)
+    assert all(f"The story number {i} is told here at length" in got[i] for i in range(pages))
+    assert not any("all" in t.split() for t in got.values())
+
+
+def test_named_title_is_not_the_whole_page(spark):
+    bodies = [f"<h1 class='{c}'>Title {i}</h1><div class='text'>Body of page {i} goes on</div><p>and on {i * i}"
+              for i, c in enumerate(["post-title", "entry-title", "post", "content entry"] * 3)]
+    got = _texts(spark, bodies)
+    assert got == {i: f"Title {i} Body of page {i} goes on and on {i * i}" for i in range(12)}
+
+
+def test_importance_does_not_fall_with_the_host(spark):
+    bodies = [f"<div class=strip>Our site</div><div class=b><h2>Heading {i % 20}</h2><p>Own words {i} of the page</p></div>" for i in range(1500)]
+    got = _texts(spark, bodies)
+    assert got == {i: f"Heading {i % 20} Own words {i} of the page" for i in range(1500)}
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    page = "<div class=strip>Our site</div><div class=b><h1>Head {0}</h1><p>Own words {0} of the page</p></div>"
+    got = _texts(spark, [page.format(i if i < 40 else 0) for i in range(100)])
+    assert got == {i: "Head {0} Own words {0} of the page".format(i if i < 40 else 0) for i in range(100)}
+
+
 def test_licences(spark):
     rng = random.Random(6)
     filler = ["plain words about the weather", "all rights reserved by the county", "the license of the driver was taken", "to any person who likes it"]
