@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyscope.llm import hidden_markov, jpeg_media, licence_scan, mixing, neighbour_graph, packing, simhash_near, site_style, token_counts, toxicity
+from tallyscope.llm import (hidden_markov, jpeg_media, licence_scan, mixing, neighbour_graph, packing, periodic_runs,
+                            simhash_near, site_style, token_counts, toxicity)
 from tallyscope.llm.common import table
 
 
@@ -50,6 +51,10 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_neighbour_graph": op2_neighbour_graph,
@@ -61,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_recompression_runs": op11_recompression_runs,
 }
 ORACLE: dict[str, str] = {}
