@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyscope.llm import periodic_runs
+from tallyscope.llm import periodic_runs, quartile_digest
 
 DOCS = "doc_id long, text string, runs string, _text string, collapsed int"
 
@@ -97,3 +97,82 @@ def test_run_digests_of_documents(spark):
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
     assert sum(w[1] > 0 for w in want) > 60
     assert periodic_runs.run_digests(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def _plain_bucket_counts(data: bytes) -> list[int]:
+    counts, mask = [0] * quartile_digest.BUCKETS, 0xFFFFFFFF
+    for at in range(len(data) - 4):
+        for salt, (i, j) in enumerate(quartile_digest.TRIPLETS):
+            h = (data[at] * 0x9E3779B1 + data[at + i] * 0x85EBCA77 + data[at + j] * 0xC2B2AE3D + salt * 0x27D4EB2F) & mask
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & mask
+            counts[h >> 24] += 1
+    return counts
+
+
+def _plain_code(data: bytes) -> list[int]:
+    counts = _plain_bucket_counts(data)
+    ordered = sorted(counts)
+    cuts = [ordered[len(ordered) * k // 4 - 1] for k in (1, 2, 3)]
+    return [sum(c > cut for cut in cuts) for c in counts]
+
+
+@pytest.mark.parametrize("length", [0, 3, 4, 5, 6, 40, 700, (1 << 20) + 9])
+def test_digest_equals_plain_counting(length):
+    data = random.Random(length).randbytes(length) if length < 9000 else b"ab c" * (length // 4) + b"z"
+    if length < 9000:
+        assert quartile_digest.bucket_counts(data).tolist() == _plain_bucket_counts(data)
+        codes = [byte >> shift & 3 for byte in quartile_digest.digest(data)[2:] for shift in (6, 4, 2, 0)]
+        assert codes == _plain_code(data)
+    assert quartile_digest.bucket_counts(data).sum() == max(len(data) - 4, 0) * 6
+
+
+def test_differences_are_bounded_and_symmetric():
+    rng = random.Random(1)
+    made = [quartile_digest.digest(rng.randbytes(rng.randint(0, 3000))) for _ in range(30)]
+    for a in made:
+        assert quartile_digest.difference(a, a) == 0 and quartile_digest.likeness(a, a) == 1
+        for b in made:
+            codes = [[byte >> s & 3 for byte in d[2:] for s in (6, 4, 2, 0)] for d in (a, b)]
+            steps = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(*codes))
+            rest = abs(a[0] - b[0]) + abs((a[1] >> 4) - (b[1] >> 4)) + abs((a[1] & 15) - (b[1] & 15))
+            assert quartile_digest.difference(a, b) == quartile_digest.difference(b, a) == steps + rest
+            assert 0 <= quartile_digest.likeness(a, b) <= 1
+
+
+def _plain_compared(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    for (doc_id, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        text, following = text or "", following or ""
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own, changed, other = (quartile_digest.digest(t.encode()) for t in (text, edited, following))
+        yield (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own.hex(), changed.hex(),
+               quartile_digest.likeness(own, changed), quartile_digest.likeness(own, other))
+
+
+CLASHING = "doc_id long, text string, part int, edge string, tie string, fingerprint int"
+
+
+@pytest.mark.parametrize("n", [1, 2, 300])
+def test_texts_compared_with_the_next(spark, n):
+    rng = random.Random(n)
+    rows = [(i * 3 % 1009, "".join(rng.choice("ab é\U0001f600z ") for _ in range(rng.randint(0, 400)))) for i in range(n)]
+    if n > 2:
+        rows += [(5000, None), (None, "no id"), (6000, ""), (7000, "long " * 40000), (8000, rows[3][1]), (8001, rows[3][1])]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(*r, 1, "first", "t", 2) for r in rows], CLASHING).repartition(5)
+    got = quartile_digest.compared_with_next(frame).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, _plain_compared(rows)))
+
+
+def test_repeated_ids_digests_and_empty_table(spark):
+    rows = [(1, "same text here"), (1, "same text here"), (2, "other text of it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.asDict() for r in quartile_digest.compared_with_next(frame).collect()]
+    assert len(got) == 3 and sorted(r["near_next"] == 1.0 for r in got) == [False, False, True]
+    alone = {r.fingerprint for r in quartile_digest.text_digests(frame).collect()}
+    assert {r["fingerprint"] for r in got} == alone
+    both = frame.withColumn("f", frame.text).limit(0)
+    assert quartile_digest.compared_with_next(both).count() == 0
+    pairs = quartile_digest.text_digests(frame).selectExpr("fingerprint a", "if(doc_id = 1, fingerprint, null) b")
+    assert sorted(r[0] or 0 for r in pairs.select(quartile_digest.digest_likeness("a", "b")).collect()) == [0, 1, 1]
