@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.llm import (hidden_markov, jpeg_media, licence_scan, mixing, neighbour_graph, packing, periodic_runs,
-                            quartile_digest, simhash_near, site_style, token_counts, toxicity)
+                            prefix_trie, quartile_digest, simhash_near, site_style, token_counts, toxicity)
 from tallyscope.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.compared_with_next(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_entropy_mix": op10_entropy_mix,
     "op11_recompression_runs": op11_recompression_runs,
+    "op12_time_forward_trie": op12_time_forward_trie,
     "op13_quartile_digest": op13_quartile_digest,
 }
 ORACLE: dict[str, str] = {}

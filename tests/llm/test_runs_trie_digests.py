@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyscope.llm import periodic_runs, quartile_digest
+from tallyscope.llm import periodic_runs, prefix_trie, quartile_digest
 
 DOCS = "doc_id long, text string, runs string, _text string, collapsed int"
 
@@ -176,3 +176,82 @@ def test_repeated_ids_digests_and_empty_table(spark):
     assert quartile_digest.compared_with_next(both).count() == 0
     pairs = quartile_digest.text_digests(frame).selectExpr("fingerprint a", "if(doc_id = 1, fingerprint, null) b")
     assert sorted(r[0] or 0 for r in pairs.select(quartile_digest.digest_likeness("a", "b")).collect()) == [0, 1, 1]
+
+
+def _plain_trie(rows, rebuilt=True):
+    own = {}
+    for conv_id, turn, role, text, *_ in rows:
+        if conv_id is not None:
+            own.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(turns, key=lambda t: t[:2])] for c, turns in own.items()}
+    convs = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 9 if rebuilt else 0
+        convs[c] = tuple(own.get(c - c % 5, [])[:h] + turns[h:])
+    members, children = {}, {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(turns[:d], []).append(c)
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        below = children.get(node, [])
+        leaves[node] = sum(leaves[n] for n in below) or 1
+        own_part = (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+        saved[node] = own_part + sum(saved[n] for n in below)
+    for node, inside in members.items():
+        ends = ",".join(str(c) for c in sorted(inside) if len(convs[c]) == len(node))
+        yield (min(inside), len(node), min(members[node[:-1]]) if node else None, len(inside), len(children.get(node, [])),
+               leaves[node], saved[node], hashlib.sha256(ends.encode()).hexdigest())
+
+
+TURNS = "conv_id long, turn long, role string, text string, key string, shard string, depth int"
+
+
+def _talks(rng: random.Random, n: int, words: int) -> list[tuple]:
+    rows = []
+    for c in rng.sample(range(3 * n), n):
+        for turn in range(rng.choice([1, 2, 5, 9, 14])):
+            said = "hi" if turn < 2 and rng.random() < 0.6 else f"é{rng.randrange(words)}"
+            rows.append((c, turn if turn else rng.choice([None, 0]), ["user", None, "bot"][turn % 3], said if rng.random() < 0.95 else None))
+    return rows
+
+
+@pytest.mark.parametrize("shards, held, words", [(1, 1 << 18, 2), (7, 1 << 18, 2), (16, 2, 1), (5, 1, 40)])
+def test_trie_equals_plain_computation(spark, shards, held, words):
+    rng = random.Random(shards)
+    rows = _talks(rng, 150, words) + [(None, 1, "a", "b"), (9001, 5, "user", "tail"), (9004, 5, "user", "tail")]
+    rows += [(20000, t, "r", "same") for t in range(60)] + [(20005, t, "r", "same") for t in range(45)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(*r, "k", "s", 1) for r in rows], TURNS).repartition(3)
+    for rebuilt, paths in ((True, prefix_trie.rebuilt_paths), (False, prefix_trie.plain_paths))[:2 if held == 2 else 1]:
+        got = [tuple(r) for r in prefix_trie.trie_nodes(*paths(frame), held=held, shards=shards).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, _plain_trie(rows, rebuilt)))
+
+
+def test_long_conversations_are_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "BLOCK", 16)
+    monkeypatch.setattr(prefix_trie, "IDS", 3)
+    rows = [(c, t, "r", f"{t // 7}") for c in range(0, 40, 5) for t in range(30 + c)] + [(c, 0, "r", "x") for c in (1, 2, 3, 4)]
+    frame = spark.createDataFrame([(*r, "k", "s", 1) for r in rows], TURNS)
+    got = [tuple(r) for r in prefix_trie.trie_nodes(*prefix_trie.rebuilt_paths(frame), shards=4).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, _plain_trie(rows)))
+
+
+def test_empty_conversations(spark):
+    frame = spark.createDataFrame([], TURNS)
+    assert prefix_trie.rebuilt_trie(frame).count() == 0
+    assert prefix_trie.conversation_trie(spark.createDataFrame([(None, 1, "a", "b", "", "", 1)], TURNS)).count() == 0
+
+
+def test_spilling_queue_keeps_order():
+    rng = random.Random(2)
+    items = [((-rng.randrange(50), rng.randbytes(1)), rng.randrange(9), 0, []) for _ in range(5000)]
+    queue = prefix_trie.SpillingQueue(64)
+    for item in items:
+        queue.push(item)
+    assert queue.spilled > 10
+    got = [x for place in sorted({i[0] for i in items}) for x in queue.take(place)]
+    assert got == sorted(items) and queue.take((0, b"")) == []
