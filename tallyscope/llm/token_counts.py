@@ -9,95 +9,64 @@ broadcast; all others are joined by a shuffle, which by construction holds no fr
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.llm.common import head_floor, keep, short_batches, text_of
 
-#: The pre-token pattern and the special string of the public byte-level vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the special string of the public byte-level vocabulary.
 SPECIAL = "<|endoftext|>"
-
-#: Pre-tokens that are broadcast at most (about 20 MB), whatever the corpus.
-HEAD = 200_000
-#: Chunks a task remembers (the first ones it meets), and pre-tokens it counts before it sends
-#: them on; bounds memory only.
-REMEMBERED = 150_000
-LIMIT = 512
-
-
-_STOPS = ".,;:!?"
+#: Characters below this one are classed by the tables here; texts with others go to the tokenizer's own splitter.
+PLAIN = 0x500
 
 
-class _NotPlain(Exception):
-    """A chunk that is empty or begins or ends with white space."""
+def _letters(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] == kind)
 
 
-class _Chunks(dict):
-    """Pre-tokens of a chunk behind a space, worked out when first asked for."""
+#: Fixed value: the white space of the vocabulary's pattern below ``PLAIN``.
+_SPACE = r"\t-\r \x85\xa0"
+#: Fixed value: the vocabulary's pre-token pattern, its character classes written out.
+PATTERN = (rf"'(?:[stmd]|re|ve|ll)| ?[{_letters('L')}]+| ?[{_letters('N')}]+| ?[^{_SPACE}{_letters('L')}{_letters('N')}]+"
+           rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
-    def __init__(self, split) -> None:
-        super().__init__()
-        self._split = split
-
-    def __missing__(self, chunk: str) -> list[str]:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _NotPlain
-        body = chunk[:-1] if chunk[-1] in _STOPS else chunk
-        if body.isalpha() and (body.isascii() or max(body) < "\u0500"):
-            found = [" " + body] if body is chunk else [" " + body, chunk[-1]]
-        else:
-            found = self._split(" " + chunk)
-        if len(self) < REMEMBERED:
-            self[chunk] = found
-        return found
+#: Pre-tokens that are broadcast at most (about 20 MB), whatever the corpus.
+HEAD = 200_000
+#: Pre-tokens a task counts before it sends them on; bounds memory only.
+REMEMBERED = 500_000
+LIMIT = 512
 
 
 class PreTokens:
-    """Pre-token frequencies of texts.
-
-    A text is cut at single spaces. A chunk that neither begins nor ends with white space has the
-    same pre-tokens in any such place (its leading space belongs to it), so each distinct chunk is
-    split once per task. Texts with other white space next to a space are split whole. Characters
-    from U+0500 on go to the tokenizer's own splitter, as Unicode versions class some differently.
-    """
+    """Pre-token frequencies of texts, split by one compiled pattern with written-out character classes."""
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._match = regex.compile(PATTERN).findall
+        self._match = re.compile(PATTERN).findall
         self._own = Tokenizer.from_file(tokenizer_path).pre_tokenizer
-        self._chunks = _Chunks(self._split)
 
     def _split(self, text: str) -> list[str]:
-        if text.isascii() or max(text) < "\u0500":
+        if text.isascii() or ord(max(text)) < PLAIN:
             return self._match(text)
         return [text[a:b] for _, (a, b) in self._own.pre_tokenize_str(text)]
 
     def add(self, text: str, counts: Counter) -> None:
         """Add the frequencies of a text to ``counts``."""
+        if SPECIAL not in text:
+            counts.update(self._split(text))
+            return
         parts = text.split(SPECIAL)
-        if len(parts) > 1:
-            counts[SPECIAL] += len(parts) - 1
+        counts[SPECIAL] += len(parts) - 1
         for part in parts:
-            first, *chunks = part.split(" ")
-            if chunks and (not first or first[-1].isspace()):
-                counts.update(self._split(part))
-                continue
-            try:
-                found = list(map(self._chunks.__getitem__, chunks))
-            except _NotPlain:
-                counts.update(self._split(part))
-                continue
-            found.append(self._split(first))
-            counts.update(chain.from_iterable(found))
+            counts.update(self._split(part))
 
 
 _COUNTS = T.StructType([T.StructField("pre", T.StringType()), T.StructField("n", T.LongType())])
