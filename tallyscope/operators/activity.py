@@ -17,14 +17,14 @@ WIDE_PAIRS = 250_000
 _CHUNK = 512
 
 
-def tx_io(ledger: DataFrame) -> DataFrame:
-    """Long form: one row per input or output, with its array position."""
+def tx_io(ledger: DataFrame, *carried: str) -> DataFrame:
+    """Long form: one row per input or output, with its array position and any columns carried along."""
     both = F.concat(
         F.transform("inputs", lambda e: F.struct(F.lit("input").alias("side"), e.alias("e"))),
         F.transform("outputs", lambda e: F.struct(F.lit("output").alias("side"), e.alias("e"))),
     )
-    return ledger.select("txid", F.explode(both).alias("x")).select(
-        "txid", "x.side", "x.e.position", "x.e.address", "x.e.amount_sats")
+    return ledger.select("txid", *carried, F.explode(both).alias("x")).select(
+        "txid", "x.side", "x.e.position", "x.e.address", "x.e.amount_sats", *carried)
 
 
 def ledger_index(ledger: DataFrame) -> DataFrame:
