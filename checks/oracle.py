@@ -152,6 +152,23 @@ cells AS (SELECT row_number, k, copy, state, n_in, n_out, CASE WHEN k % 19 = 0 T
    CASE WHEN k % 23 = 0 THEN greatest(n_out - 1, 1) ELSE n_out END AS n_amounts,
    CASE WHEN k % 31 = 0 THEN '70000' ELSE '40000' END AS src_port FROM fees)
 """
+IMPORTED = """,
+named AS (SELECT f.*, fs.status, fs.repeat_sighting, CASE WHEN f.k % 19 = 0 THEN 'order-' || f.k ELSE f.txid END AS id
+          FROM fees f JOIN final_status fs USING (row_number)),
+seen_n AS (SELECT id, count(*) AS sightings FROM named WHERE status <> 'quarantined' GROUP BY id),
+stored AS (SELECT * FROM named JOIN seen_n USING (id) WHERE status <> 'quarantined' AND NOT repeat_sighting)
+"""
+_STORED = """SELECT id AS txid, total_in AS total_in_sats, total_out AS total_out_sats, fee AS fee_sats,
+  true_fee - coalesce(fee, 0) AS residual_sats, CAST(n_in AS INTEGER) AS input_count, CAST(n_out AS INTEGER) AS output_count,
+  CASE WHEN status = 'warning' THEN 'warning' ELSE 'clean' END AS quality_status, sightings FROM stored"""
+_TABLE_ROWS = """
+kept AS (SELECT 'source_rows' AS name, count(*) AS rows FROM named
+         UNION ALL SELECT 'transactions', count(*) FROM stored
+         UNION ALL SELECT 'tx_io', CAST(sum(n_in + n_out) AS BIGINT) FROM stored
+         UNION ALL SELECT 'observations', CAST(sum(sightings) AS BIGINT) FROM stored
+         UNION ALL SELECT 'validation_issues', CAST(sum(n) + 4 AS BIGINT) FROM all_issues)
+SELECT name, rows, 4 AS datasets FROM kept UNION ALL SELECT name || ' on disk', rows, 4 FROM kept
+UNION ALL SELECT 'retry', count(*), 4 FROM named UNION ALL SELECT 'known files', 0, 0 UNION ALL SELECT 'dropped', 0, 5"""
 JUDGED = """
 WITH pred AS (SELECT CAST(doc_id AS VARCHAR) AS address, CASE WHEN lang <> 'en' THEN CAST(n_chars AS DOUBLE) END AS pct,
     lang <> 'en' AS scored, n_chars > 1000 AS flagged, CAST(n_chars AS DOUBLE) AS priority, lang FROM documents),
@@ -326,6 +343,14 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (status = 'warning') AS accepted_warning, count(*) FILTER (status = 'quarantined') AS quarantined,
         count(*) FILTER (status <> 'quarantined' AND NOT repeat_sighting) AS transactions_stored,
         count(*) FILTER (status <> 'quarantined') AS observations_stored, true AS reconciles FROM final_status""", TEXT),
+    "dataset_fingerprints": """WITH lines AS (
+        SELECT o_orderkey % 4 AS part, o_orderkey AS place, o_orderkey || '|' || o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders
+        UNION ALL SELECT range, -1, 'order|customer|day' FROM range(4)),
+      files AS (SELECT part, string_agg(line, chr(10) ORDER BY place) || chr(10) AS content FROM lines GROUP BY part)
+      SELECT CAST(part AS INTEGER) AS part, CAST(strlen(content) AS BIGINT) AS byte_size, sha256(content) AS sha256, 'csv' AS format, 'utf-8' AS encoding,
+        '|' AS delimiter, 'lf' AS newline, 'order;customer;day' AS header FROM files""",
+    **{name: _q(_STORED, TEXT, IMPORTED) for name in ("import_csv", "import_json", "import_xml")},
+    "import_retry": _q("", TEXT, IMPORTED, "," + _TABLE_ROWS),
     "profile_ledger": _q("""SELECT count(*) AS rows, count(DISTINCT id) AS distinct_txids,
         (SELECT count(*) FROM (SELECT id FROM cells GROUP BY id HAVING count(*) > 1)) AS duplicated_txids,
         count(*) FILTER (k % 23 = 0 AND n_out > 1) AS length_mismatch_rows,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.files import new_folder, part_of, write_landing, write_order_files
 from checks.text_rows import star_text_rows
 from tallyscope.functions.prefix import median_gap, peak_overlap
 from tallyscope.functions.staging import stage
@@ -24,7 +25,7 @@ from tallyscope.operators import (
     scoring,
     structure,
 )
-from tallyscope.plans import case_queries, evaluate
+from tallyscope.plans import case_import, case_queries, evaluate
 from tallyscope.plans.run import run_analysis
 from tallyscope.session import prepare
 from tallyscope.settings import (
@@ -37,6 +38,8 @@ from tallyscope.settings import (
     SharedEndpoint,
     Structure,
 )
+from tallyscope.sources.formats import read_rows
+from tallyscope.sources.scan import look
 from tallyscope.sources.star_ledger import read_star_ledger, read_star_observations
 
 LOOSE = Structure(min_inputs=2, min_outputs=2, min_equal_outputs=2)
@@ -164,6 +167,59 @@ def import_summary(spark, folder):
         "observations_stored", "reconciles")
 
 
+# --- files -----------------------------------------------------------------------------
+@query
+def dataset_fingerprints(spark, folder):
+    return look(spark, write_order_files(spark, folder)).select(
+        part_of("path").alias("part"), "byte_size", "sha256", "format", "encoding", "delimiter", "newline", F.array_join("header", ";").alias("header"))
+
+
+def _imported(spark, folder, kind):
+    case = new_folder(spark, "case")
+    case_import.import_ledger(spark, write_landing(spark, folder, kind), case)
+    ledger, sightings = case_import.load_ledger(spark, case)
+    seen = sightings.groupBy("txid").agg(F.count("*").alias("sightings"))
+    return ledger.join(seen, "txid").select("txid", "total_in_sats", "total_out_sats", "fee_sats", "residual_sats", "input_count",
+                                            "output_count", "quality_status", "sightings")
+
+
+@query
+def import_csv(spark, folder):
+    return _imported(spark, folder, "csv")
+
+
+@query
+def import_json(spark, folder):
+    return _imported(spark, folder, "json")
+
+
+@query
+def import_xml(spark, folder):
+    return _imported(spark, folder, "xml")
+
+
+@query
+def import_retry(spark, folder):
+    """Rows per case table after an attempt that died, a retry, an import of known files, and a clean-up."""
+    landing, case = write_landing(spark, folder, "csv"), new_folder(spark, "case")
+    lost = importing.import_rows(read_rows(spark, landing).withColumn("dataset_id", F.lit("ds_lost")))
+    case_import.write_case_tables(lost, case)  # and no row in datasets
+    written = case_import.import_ledger(spark, landing, case)
+    again = case_import.import_ledger(spark, landing, case)
+    dropped = case_import.drop_abandoned(spark, case)
+    counts = [case_import.load_table(spark, case, name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"),
+                                                            F.count_distinct("dataset_id").alias("datasets")) for name in case_import.TABLES]
+    stored = [spark.read.parquet(f"{case}/{name}").agg(F.lit(f"{name} on disk").alias("name"), F.count("*").alias("rows"),
+                                                       F.count_distinct("dataset_id").alias("datasets")) for name in case_import.TABLES]
+    rounds = [df.agg(F.lit(name).alias("name"), F.coalesce(F.sum("total_rows"), F.lit(0)).alias("rows"), F.count("*").alias("datasets"))
+              for name, df in (("retry", written), ("known files", again))]
+    clean = spark.range(1).select(F.lit("dropped").alias("name"), F.lit(0).cast("bigint").alias("rows"), F.lit(dropped).cast("bigint").alias("datasets"))
+    merged = clean
+    for df in (*counts, *stored, *rounds):
+        merged = merged.unionByName(df)
+    return merged
+
+
 @query
 def profile_ledger(spark, folder):
     return profile.profile_ledger(star_text_rows(spark, folder)).select(
