@@ -300,6 +300,7 @@ def _q(select: str, *ctes: str, recursive: bool = False) -> str:
 
 
 _RUN = (PAIRS, COSPEND, COMPONENTS, COLLECT, _busy(0.99, 50), GRADED, HOPS, CHAINS, SEEN, FINDINGS)
+_SCORED_RUN = (PAIRS, COSPEND, COMPONENTS, COLLECT, _busy(0.5, 20), GRADED, HOPS, CHAINS, SEEN, FINDINGS)
 _SINGLE = "'common_control', 'coinjoin_like', 'shared_ip_observation', 'high_activity_context'"
 
 
@@ -317,6 +318,76 @@ def _quantiles() -> str:
               PAIRS, COSPEND, BUSY, exact)
 
 
+def _horner(coefficients: tuple[float, ...], x: str) -> str:
+    found = "0.0"
+    for c in coefficients:
+        found = f"({found} * {x} + ({c!r}))"
+    return found
+
+
+def _normal_scores() -> str:
+    from checks.queries import PLAIN_FEATURES
+
+    exact = FEATURE_SQL
+    for name in ("received_sats_log", "spent_sats_log"):
+        exact = exact.replace(f", 6) AS {name}", f", 15) AS {name}")
+    marks = "[" + ", ".join(str(i / 100) for i in range(101)) + "]"
+    knots = " UNION ALL ".join(f"SELECT '{f}' AS feature, i, q[i + 1] AS k FROM (SELECT quantile_cont({f}, {marks}) AS q FROM feat), range(101) t(i)"
+                               for f in PLAIN_FEATURES)
+    cells = " UNION ALL ".join(f"SELECT address, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM feat" for f in PLAIN_FEATURES)
+    middle = _horner((-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01,
+                      2.506628277459239e+00), "(q * q)")
+    below = _horner((-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0), "(q * q)")
+    tail = _horner((-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00,
+                    2.938163982698783e+00), "t")
+    under = _horner((7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0), "t")
+    return _q(f"""SELECT address, feature, round(least(greatest(z, -5.1993375821928165), 5.1993375821928165), 6) AS score
+        FROM cells JOIN scores USING (feature, x)""", PAIRS, COSPEND, BUSY, exact, f""",
+      knots AS MATERIALIZED ({knots}), cells AS MATERIALIZED ({cells}),
+      near AS (SELECT feature, x, max(i) FILTER (k <= x) AS a, min(i) FILTER (k >= x) AS b, min(k) AS k0, max(k) AS ks
+               FROM (SELECT DISTINCT feature, x FROM cells) JOIN knots USING (feature) GROUP BY ALL),
+      placed AS (SELECT near.feature, x, CASE WHEN x >= ks - 1e-7 THEN 1.0 WHEN x <= k0 + 1e-7 THEN 0.0 WHEN l.k = x THEN (a + b) / 200.0
+                   ELSE (a + (x - l.k) / (r.k - l.k)) / 100.0 END AS p FROM near
+                 JOIN knots l ON l.feature = near.feature AND l.i = a JOIN knots r ON r.feature = near.feature AND r.i = b),
+      ends AS (SELECT feature, x, least(greatest(p, 1e-7), 1 - 1e-7) AS p FROM placed),
+      parts AS (SELECT *, p - 0.5 AS q, sqrt(-2.0 * ln(least(p, 1.0 - p))) AS t FROM ends),
+      scores AS (SELECT feature, x, CASE WHEN abs(q) <= 0.47575 THEN q * {middle} / {below}
+                   ELSE CASE WHEN q < 0 THEN 1 ELSE -1 END * {tail} / {under} END AS z FROM parts)""")
+
+
+def _forest() -> str:
+    from checks.queries import SMALL_FOREST
+
+    rows = ", ".join(f"({t}, {n}, {f!r}, {c}, {l}, {r}, {size}, {depth})" if f else f"({t}, {n}, NULL, {c}, {l}, {r}, {size}, {depth})"
+                     for t, n, f, c, l, r, size, depth in SMALL_FOREST)
+    path = "CASE WHEN {0} <= 1 THEN 0.0 WHEN {0} = 2 THEN 1.0 ELSE 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} END"
+    return _q(f"""SELECT address, round(pow(2.0, -avg(depth + {path.format('size')}) / ({path.format('8')})), 9) AS anomaly_score
+        FROM walk JOIN nodes USING (tree, node) WHERE feature IS NULL GROUP BY address""", PAIRS, COSPEND, BUSY, FEATURE_SQL, f""",
+      nodes(tree, node, feature, threshold, l, r, size, depth) AS (VALUES {rows}),
+      walk(address, tree, node) AS (SELECT address, tree, 0 FROM feat, nodes WHERE node = 0
+        UNION ALL SELECT w.address, w.tree, CASE WHEN CASE feature WHEN 'tx_count' THEN tx_count WHEN 'received_sats_log' THEN received_sats_log
+            WHEN 'distinct_counterparties' THEN distinct_counterparties ELSE outgoing_tx_count END <= threshold THEN l ELSE r END
+          FROM walk w JOIN nodes USING (tree, node) JOIN feat ON feat.address = w.address WHERE feature IS NOT NULL)""", recursive=True)
+
+
+SCORED = """,
+scored AS (SELECT address, CAST(tx_count - 1000 * outgoing_tx_count AS DOUBLE) AS score FROM act WHERE tx_count % 13 <> 0),
+weights AS (SELECT score, count(*) AS w FROM scored GROUP BY score),
+pcts AS (SELECT a.score, (2 * coalesce(sum(b.w) FILTER (b.score < a.score), 0) + any_value(a.w)) / 2.0 / sum(b.w) * 100.0 AS pct
+         FROM weights a JOIN weights b ON true GROUP BY a.score),
+pct_of AS (SELECT address, pct FROM scored JOIN pcts USING (score)),
+odd AS (SELECT address FROM pct_of WHERE pct >= 90 AND address NOT IN (SELECT subject FROM finds
+         WHERE pattern IN ('collection_pattern', 'payment_participant', 'peeling_sequence', 'common_control'))),
+held AS (SELECT DISTINCT subject FROM finds WHERE pattern IN ('high_activity_context', 'shared_ip_observation')),
+more AS (SELECT * FROM finds UNION ALL SELECT 'statistical_anomaly', address, '', 'unknown_role', 0.0, 1 FROM odd),
+weighed AS (SELECT more.*, CASE WHEN pattern <> 'coinjoin_like' THEN pct END AS pct,
+    pattern IN ('high_activity_context', 'shared_ip_observation') OR (pattern = 'statistical_anomaly' AND subject IN (SELECT subject FROM held)) AS suppressed
+  FROM more LEFT JOIN pct_of ON address = subject),
+blended AS (SELECT *, CASE WHEN pct IS NULL THEN CAST(severity AS DOUBLE) WHEN suppressed THEN least(60.0, 0.6 * pct + 0.4 * CAST(severity AS DOUBLE))
+    ELSE 0.6 * pct + 0.4 * CAST(severity AS DOUBLE) END AS p FROM weighed)
+"""
+
+
 ORACLE: dict[str, str] = {
     "ledger_index": _q("SELECT txid, ts AS ts_us, row_number() OVER (ORDER BY ts, txid) - 1 AS tx_index FROM tx"),
     "ledger_entries": _q("SELECT txid, side, pos AS position, address, amt AS amount_sats FROM io"),
@@ -459,6 +530,18 @@ ORACLE: dict[str, str] = {
         FROM act LEFT JOIN (SELECT subject AS address, array_to_string(list_sort(list(DISTINCT pattern)), ',') AS patterns,
           round_even(CAST(max(severity) AS DOUBLE), 2) AS priority, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles
           FROM finds WHERE pattern <> 'coinjoin_like' GROUP BY subject) USING (address)""", *_RUN, recursive=True),
+    "alerts_scored": _q(f"""SELECT sha256('check|' || pattern || '|' || subject || '|' || context) AS alert_id, subject AS subject_id, pattern,
+        round_even(p, 2) AS priority, CASE WHEN p >= 75 THEN 'high' WHEN p >= 40 THEN 'medium' ELSE 'low' END AS priority_band,
+        CASE WHEN s >= 2 THEN 'high' WHEN s = 1 THEN 'medium' ELSE 'low' END AS evidence_strength, round(pct, 6) AS anomaly_percentile, suppressed
+        FROM (SELECT *, CAST(supports >= 3 AS INTEGER) + CAST(supports >= 8 AS INTEGER)
+              - CAST(pattern IN ({_SINGLE}, 'statistical_anomaly') AS INTEGER) AS s FROM blended)""", *_SCORED_RUN, SCORED, recursive=True),
+    "predictions_scored": _q("""SELECT address, pct IS NOT NULL AS scored, round(pct, 6) AS anomaly_percentile, coalesce(patterns, '') AS patterns,
+        coalesce(priority, round_even(0.6 * pct, 2), 0.0) AS review_priority, priority IS NOT NULL AS raised_alert, coalesce(roles, '') AS roles
+        FROM act LEFT JOIN pct_of USING (address) LEFT JOIN (SELECT subject AS address, array_to_string(list_sort(list(DISTINCT pattern)), ',') AS patterns,
+          round_even(max(p), 2) AS priority, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles
+          FROM blended WHERE pattern <> 'coinjoin_like' GROUP BY subject) USING (address)""", *_SCORED_RUN, SCORED, recursive=True),
+    "normal_scores": _normal_scores(),
+    "fixed_forest_scores": _forest(),
     "run_statistics": _q("""SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM act) AS addresses,
         (SELECT count(*) FROM o JOIN customer ON c_custkey = o_custkey) AS observations, (SELECT count(*) FROM finds) AS alerts_total,
         (SELECT count(*) FROM act) AS addresses_unscored, (SELECT count(*) FROM tx WHERE collab) AS collaborative_transactions_excluded,

@@ -30,6 +30,8 @@ from tallyscope.plans.run import run_analysis
 from tallyscope.session import prepare
 from tallyscope.settings import (
     DAY_US,
+    FEATURE_ORDER,
+    Anomaly,
     Collection,
     CommonControl,
     DetectorConfig,
@@ -49,6 +51,21 @@ CONTROL = CommonControl(min_shared_transactions=3)
 ACTIVE = HighActivity(activity_percentile=95.0, min_transactions=40)
 RUN = DetectorConfig(collection=COLLECT, peeling=PEEL, common_control=CONTROL)
 
+SCORED = DetectorConfig(collection=COLLECT, peeling=PEEL, common_control=CONTROL, anomaly=Anomaly(report_above_percentile=90.0),
+                        high_volume=HighActivity(activity_percentile=50.0, min_transactions=20))
+
+#: Features whose values are whole or one function of whole numbers, so two engines agree on ties.
+PLAIN_FEATURES = ("tx_count", "incoming_tx_count", "outgoing_tx_count", "distinct_senders", "distinct_receivers", "distinct_counterparties",
+                  "received_sats_log", "spent_sats_log", "repeated_co_input_partners", "max_tx_in_24h", "has_multiple_events")
+#: A forest of three trees over eight points: tree, node, feature, threshold, left, right, size, depth.
+SMALL_FOREST = (
+    (0, 0, "tx_count", 20.0, 1, 2, 8, 0), (0, 1, None, 0.0, -1, -1, 5, 1), (0, 2, "received_sats_log", 18.5, 3, 4, 3, 1),
+    (0, 3, None, 0.0, -1, -1, 2, 2), (0, 4, None, 0.0, -1, -1, 1, 2),
+    (1, 0, "distinct_counterparties", 60.0, 1, 2, 8, 0), (1, 1, "outgoing_tx_count", 0.0, 3, 4, 7, 1), (1, 2, None, 0.0, -1, -1, 1, 1),
+    (1, 3, None, 0.0, -1, -1, 4, 2), (1, 4, "tx_count", 90.0, 5, 6, 3, 2), (1, 5, None, 0.0, -1, -1, 2, 3), (1, 6, None, 0.0, -1, -1, 1, 3),
+    (2, 0, None, 0.0, -1, -1, 8, 0),
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -487,6 +504,20 @@ def anomaly_scores(spark, folder):
     return model.score_addresses(frame, model.fit_model(frame))[0]
 
 
+@query
+def normal_scores(spark, folder):
+    frame = stage(_features(spark, folder), "features")
+    scaled = model.quantile_normal(model.impute_constant(frame), stage(model.feature_quantiles(frame, 101), "quantiles"))
+    return scaled.unpivot("address", list(PLAIN_FEATURES), "feature", "score").withColumn("score", F.round("score", 6))
+
+
+@query
+def fixed_forest_scores(spark, folder):
+    nodes = spark.createDataFrame(
+        [(t, n, FEATURE_ORDER.index(f) if f else -1, *rest) for t, n, f, *rest in SMALL_FOREST], model.NODE_SCHEMA)
+    return _rounded(model.anomaly_scores(model.impute_constant(_features(spark, folder)), nodes, 8, 3), 9)
+
+
 # --- scoring ---------------------------------------------------------------------------
 def _priorities(spark, folder):
     ledger = _staged(spark, folder)
@@ -548,6 +579,28 @@ def predictions(spark, folder):
         F.array_join("roles", ",").alias("roles"))
 
 
+def _scored_run(spark, folder):
+    ledger = read_star_ledger(spark, folder)
+    totals = activity.address_activity(activity.address_transactions(ledger))
+    scores = totals.select("address", F.when(
+        F.col("tx_count") % 13 != 0, (F.col("tx_count") - 1000 * F.col("outgoing_tx_count")).cast("double")).alias("anomaly_score"))
+    return run_analysis(ledger, read_star_observations(spark, folder), SCORED, model.freeze_scores(scores), "check")
+
+
+@query
+def alerts_scored(spark, folder):
+    held = F.get_json_object("priority_components", "$.suppression").isNotNull()
+    return _rounded(_scored_run(spark, folder).alerts.select(
+        "alert_id", "subject_id", "pattern", "priority", "priority_band", "evidence_strength", "anomaly_percentile", held.alias("suppressed")))
+
+
+@query
+def predictions_scored(spark, folder):
+    return _rounded(_scored_run(spark, folder).predictions.select(
+        "address", "scored", "anomaly_percentile", F.array_join("patterns", ",").alias("patterns"), "review_priority", "raised_alert",
+        F.array_join("roles", ",").alias("roles")))
+
+
 @query
 def run_statistics(spark, folder):
     return _run(spark, folder).stats.select(

@@ -6,6 +6,7 @@ subsample size in nodes. Feature rows and scores are only ever handled in partit
 """
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Iterator
@@ -42,6 +43,32 @@ class AnomalyModel:
     trees: int = TREES
 
 
+@dataclass
+class ScoreTable:
+    """Scores made elsewhere, frozen: (address, anomaly_score), their histogram and a digest of both."""
+
+    scores: DataFrame
+    reference: DataFrame      # score, weight
+    digest: str
+
+
+def freeze_scores(scores: DataFrame, reference: DataFrame | None = None) -> ScoreTable:
+    """Write down (address, anomaly_score) and the reference population its percentiles are taken in.
+
+    Without a ``reference`` (score, weight) the scores themselves are the population. Null and
+    non-finite scores leave an address unscored; an address scored twice with different values is an error.
+    """
+    value = F.col("anomaly_score").cast("double")
+    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    kept = stage(scores.where(usable).select("address", value.alias("anomaly_score")).distinct(), "frozen-scores")
+    twice = kept.groupBy("address").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"address {twice['address']!r} has more than one score")
+    known = stage(reference_distribution(kept) if reference is None else reference.select("score", "weight"), "frozen-reference")
+    digests = [str(table_checksum(df).first()["digest"]) for df in (kept, known)]
+    return ScoreTable(kept, known, hashlib.sha256("|".join(digests).encode()).hexdigest())
+
+
 def entity_holdout(frame: DataFrame, fraction: float, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(fit, held out) split by address; the same address always lands on the same side."""
     bucket = F.pmod(F.xxhash64("address", F.lit(seed)), F.lit(1_000_000))
@@ -64,7 +91,8 @@ def feature_quantiles(frame: DataFrame, count: int | None = None) -> DataFrame:
     Cells become counts by (feature, value); their running total over a range sort gives each
     value the block of ranks it covers, so no feature is one task or one buffer. A level lies at
     rank level / (levels - 1) * (rows - 1) and is interpolated between the values at the whole
-    ranks around it; each value hands itself to the levels whose ranks fall in its block.
+    ranks around it. Which levels a block of ranks covers is arithmetic, so a value costs as many
+    rows as levels meet it, and most values none.
     """
     rows = frame.count()
     levels = count or min(1000, max(10, rows))
@@ -76,16 +104,18 @@ def feature_quantiles(frame: DataFrame, count: int | None = None) -> DataFrame:
     blocks = ranked.join(F.broadcast(base), "feature").select(
         "feature", "value", (F.col("ahead") - F.col("base")).alias("low"), (F.col("ahead") - F.col("base") + F.col("n")).alias("high"))
     last, steps = rows - 1, levels - 1
-    at = F.expr(f"transform(sequence(0, {steps}), i -> named_struct('level', i, 'low_rank', i * {last}L div {steps}, 'rest', i * {last}L % {steps}))")
-    wanted = F.filter(at, lambda s: ((s["low_rank"] >= F.col("low")) & (s["low_rank"] < F.col("high")))
-                      | ((s["rest"] > 0) & (s["low_rank"] + 1 >= F.col("low")) & (s["low_rank"] + 1 < F.col("high"))))
-    near = blocks.select("feature", "value", "low", "high", F.explode(wanted).alias("s"))
-    under = F.when((F.col("s.low_rank") >= F.col("low")) & (F.col("s.low_rank") < F.col("high")), F.col("value"))
-    over = F.when((F.col("s.low_rank") + 1 >= F.col("low")) & (F.col("s.low_rank") + 1 < F.col("high")), F.col("value"))
+    # level i lies between ranks i * last div steps and the next one; a block [low, high) holds the first
+    # for a whole range of levels and the second for that range moved by one rank
+    first = F.expr(f"greatest(low - 1, 0) * {steps}L div {max(last, 1)}L")
+    final = F.expr(f"least({steps}L, (high * {steps}L - 1) div {max(last, 1)}L)") if last else F.lit(steps).cast("long")
+    near = blocks.where(first <= final).select("feature", "value", "low", "high", F.explode(F.sequence(first, final)).alias("level"))
+    near = near.withColumns({"rank": F.expr(f"level * {last}L div {max(steps, 1)}L"), "rest": F.expr(f"level * {last}L % {max(steps, 1)}L")})
+    under = F.when((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), F.col("value"))
+    over = F.when((F.col("rank") + 1 >= F.col("low")) & (F.col("rank") + 1 < F.col("high")), F.col("value"))
     return (
-        near.groupBy("feature", F.col("s.level").alias("level"), F.col("s.rest").alias("rest"))
+        near.groupBy("feature", F.col("level").cast("int").alias("level"), "rest")
         .agg(F.max(under).alias("under"), F.max(over).alias("over"))
-        .select("feature", "level", F.when(F.col("rest") == 0, F.col("under")).otherwise(
+        .select("feature", "level", F.when((F.col("rest") == 0) | (F.col("under") == F.col("over")), F.col("under")).otherwise(
             (steps - F.col("rest")) / steps * F.col("under") + F.col("rest") / steps * F.col("over")).alias("value"))
     )
 
@@ -214,19 +244,22 @@ def fit_isolation_forest(scaled: DataFrame, trees: int = TREES, subsample: int =
     return tree_samples(scaled, trees, subsample, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
-def anomaly_scores(scaled: DataFrame, nodes: DataFrame, subsample: int) -> DataFrame:
+def anomaly_scores(scaled: DataFrame, nodes: DataFrame, subsample: int, trees: int = TREES) -> DataFrame:
     """(address, anomaly_score) in 0..1; larger is more unusual.
 
-    The forest is broadcast: its size is trees times twice the subsample at most, set by the fit
-    and not by the data.
+    The forest is broadcast: it has at most ``trees`` times twice ``subsample`` nodes, set by the fit
+    and not by the data; a larger node table is an error.
     """
-    forest = nodes.toPandas()
-    trees = []
+    most = trees * 2 * max(subsample, 1)
+    forest = nodes.limit(most + 1).toPandas()
+    if len(forest) > most:
+        raise ValueError(f"the node table has more than {most} rows, too many for {trees} trees over {subsample} points")
+    walks = []
     for _, tree in forest.sort_values(["tree", "node"]).groupby("tree"):
         path = tree["depth"].to_numpy(dtype=float) + average_path(tree["size"].to_numpy())
-        trees.append((tree["feature"].to_numpy(), tree["threshold"].to_numpy(),
+        walks.append((tree["feature"].to_numpy(), tree["threshold"].to_numpy(),
                       np.stack([tree["left"].to_numpy(), tree["right"].to_numpy()]), path))
-    shared = scaled.sparkSession.sparkContext.broadcast(trees)
+    shared = scaled.sparkSession.sparkContext.broadcast(walks)
     norm = max(float(average_path(subsample)), 1e-12)
     names = list(FEATURE_ORDER)
 
@@ -281,13 +314,15 @@ def fit_model(frame: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE,
     quantiles = stage(feature_quantiles(frame), "quantiles")
     scaled = stage(quantile_normal(impute_constant(frame), quantiles), "scaled")
     nodes = stage(fit_isolation_forest(scaled, trees, used, seed), "forest")
-    reference = stage(reference_distribution(anomaly_scores(scaled, nodes, used)), "reference")
+    reference = stage(reference_distribution(anomaly_scores(scaled, nodes, used, trees)), "reference")
     return AnomalyModel(quantiles, nodes, reference, FEATURE_ORDER, used, trees)
 
 
-def score_addresses(frame: DataFrame, model: AnomalyModel | None) -> tuple[DataFrame, str, str | None]:
+def score_addresses(frame: DataFrame, model: AnomalyModel | ScoreTable | None) -> tuple[DataFrame, str, str | None]:
     """(scores, status, error). Without a usable model every address is unscored and rules go on."""
     empty = F.lit(None).cast("double")
+    if isinstance(model, ScoreTable):
+        return _with_reasons(frame, percentile_rank(model.scores, model.reference), "The score table has no score for this address."), "used", None
     if model is None or tuple(model.feature_order) != tuple(FEATURE_ORDER):
         error = "no model bundle" if model is None else "MODEL_SCHEMA_MISMATCH: retrain for the current features"
         unscored = frame.select("address", empty.alias("anomaly_score"), empty.alias("anomaly_percentile"),
@@ -299,13 +334,14 @@ def score_addresses(frame: DataFrame, model: AnomalyModel | None) -> tuple[DataF
         value = F.col(name)
         finite = finite & value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     usable = frame.where(finite)
-    raw = stage(anomaly_scores(quantile_normal(usable, model.quantiles), model.nodes, model.subsample), "scores")
+    raw = stage(anomaly_scores(quantile_normal(usable, model.quantiles), model.nodes, model.subsample, model.trees), "scores")
     ranked = percentile_rank(raw, model.reference)
-    scores = frame.select("address").join(ranked, "address", "left").select(
-        "address", "anomaly_score", "anomaly_percentile",
-        F.when(F.col("anomaly_score").isNull(), F.lit("A required feature was not finite; reported as unscored."))
-        .alias("unscored_reason"))
-    return scores, "used", None
+    return _with_reasons(frame, ranked, "A required feature was not finite; reported as unscored."), "used", None
+
+
+def _with_reasons(frame: DataFrame, ranked: DataFrame, missing: str) -> DataFrame:
+    return frame.select("address").join(ranked, "address", "left").select(
+        "address", "anomaly_score", "anomaly_percentile", F.when(F.col("anomaly_score").isNull(), F.lit(missing)).alias("unscored_reason"))
 
 
 def save_model_tables(model: AnomalyModel, folder: str) -> dict:

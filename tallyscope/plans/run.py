@@ -52,8 +52,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def run_analysis(ledger: DataFrame, observations: DataFrame, config: DetectorConfig | None = None,
-                 anomaly_model: model.AnomalyModel | None = None, run_id: str = "run") -> RunResult:
-    """Run every detector, score and rank.
+                 anomaly_model: model.AnomalyModel | model.ScoreTable | None = None, run_id: str = "run") -> RunResult:
+    """Run every detector, score and rank, with a fitted model or a frozen table of scores.
 
     Tables used by several consumers are staged once: the marked ledger, the address-transaction
     table, the profiles, and the small tables each detector narrows down to. The collaborative
