@@ -27,6 +27,10 @@ BATCH = 256
 STRIDE = 4
 
 
+#: Cosines this close may be ties once taken in double precision.
+TIE = 1e-6
+
+
 class Graph:
     """Vectors of a shard with, per layer, the member nodes and their neighbours (-1: none)."""
 
@@ -191,13 +195,22 @@ class Graph:
         exact = queries.astype(np.float64)
         length = np.linalg.norm(exact, axis=1)
         unit = (exact / length[:, None]).astype(np.float32)
-        nodes, _ = self.search_layer(unit, self.descend(unit, 0), self.layers[0], max(SEARCH_WIDTH, k))
-        nodes = nodes[:, :2 * k]
-        found = self.vectors[nodes].astype(np.float64)
-        cosine = np.einsum("qkd,qd->qk", found, exact) / (np.linalg.norm(found, axis=2) * length[:, None])
-        cosine = np.where(nodes >= 0, cosine, -np.inf)
-        order = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(nodes, order, 1), np.take_along_axis(cosine, order, 1)
+        nodes = np.full((len(exact), k), -1, np.int64)
+        cosine = np.full((len(exact), k), -np.inf)
+        left, width = np.arange(len(exact)), max(SEARCH_WIDTH, k)
+        while len(left):
+            beam, _ = self.search_layer(unit[left], self.descend(unit[left], 0), self.layers[0], width)
+            found = self.vectors[beam].astype(np.float64)
+            near = np.einsum("qkd,qd->qk", found, exact[left]) / (np.linalg.norm(found, axis=2) * length[left, None])
+            near = np.where(beam >= 0, near, -np.inf)
+            order = np.lexsort((beam, -near), axis=1)  # nodes are numbered by id, so ties go to the smaller one
+            beam, near = np.take_along_axis(beam, order, 1), np.take_along_axis(near, order, 1)
+            got = min(k, beam.shape[1])
+            nodes[left, :got], cosine[left, :got] = beam[:, :got], near[:, :got]
+            # a beam full of ties may hide a smaller id: search wider
+            full = near[:, -1] >= near[:, got - 1] - TIE if width < len(self.unit) else np.zeros(len(left), bool)
+            left, width = left[full], 4 * width
+        return nodes, cosine
 
 
 _GRAPH = ("dim int, shard int, names binary, vectors binary, entry long, widths array<int>, links array<binary>")

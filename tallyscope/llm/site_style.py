@@ -70,6 +70,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NUMBER = re.compile(r"\d+")
+_NUMBERED = re.compile(r"[-_]?\d+$")
+_PARTS = re.compile(r"[-_]+")
 _HIDDEN = re.compile(
     r"(?:^|[\s\"'])(?:hidden(?=[\s/]|$|\s*=)(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true\b|style\s*=\s*(?:\"[^\"]*display\s*:\s*none|'[^']*display\s*:\s*none))", re.I)
 _QUOTED = re.compile(r"(\b(?!style\b|aria-hidden\b|hidden\b)[\w:-]+\s*=\s*)(?:\"[^\"]*\"|'[^']*')", re.I)
@@ -102,16 +105,23 @@ class Block(NamedTuple):
 _LABELS: dict[tuple[str, str], tuple[bytes, int, bool]] = {}
 
 
+def _shared_tokens(kind: str, value: str) -> str:
+    """Tokens of an attribute as other pages of the site may have them: numbers made equal, long slugs left out."""
+    most = 2 if kind == "id" else 3
+    tokens = {_NUMBER.sub("0", w) for w in value.lower().split()}
+    return " ".join(sorted(w for w in tokens if len(_PARTS.split(w)) <= most))
+
+
 def _label(tag: str, attributes: str) -> tuple[bytes, int, bool]:
     """Label of an element in the style tree; -1, 0 or 1 as its names put it beside or into the main text; whether it is hidden."""
     known = _LABELS.get((tag, attributes))
     if known:
         return known
     names = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)]
-    tokens = {w for _, value in names for w in value.lower().split()}
+    tokens = {_NUMBERED.sub("", w) for _, value in names for w in value.lower().split()}
     name = 0 if tag in ("html", "body") else bool(tokens & MAIN_WORDS) - bool(tokens & ASIDE_WORDS)
     hidden = tag not in ("html", "body") and bool(_HIDDEN.search(_QUOTED.sub(r"\1x", attributes)))
-    label = tag + "".join(f" {k}={v}" for k, v in sorted(names))
+    label = f"{tag} {name}" + "".join(f" {k}={v}" for k, v in sorted((k, _shared_tokens(k, v)) for k, v in names) if v)
     found = (label.encode("utf-8", "replace"), name, hidden)
     if len(_LABELS) < 20_000:
         _LABELS[tag, attributes] = found
@@ -197,24 +207,33 @@ def _most(part: list[Block], whole: list[Block]) -> bool:
     return 2 * sum(len(b.text) for b in part) > sum(len(b.text) for b in whole)
 
 
-def main_text(page: str, removed: frozenset[int] | None) -> str:
-    """The blocks in page order, without the branches in ``removed``; without a list, names decide.
+class Template(NamedTuple):
+    """What a host's pages say of shared nodes: branches of low importance, and named ones that proved important."""
+    removed: frozenset[int]
+    spared: frozenset[int]
+
+
+def main_text(page: str, template: Template | None) -> str:
+    """The blocks in page order, without branches of low importance; names decide where the host says nothing.
 
-    Branches with most of the page's text stay. If the page has an article or main element with
-    text, or if named main parts hold most of the text, only that counts; what would leave nothing
-    is not applied.
+    Branches with most of the page's text stay. If article or main elements, or named main parts,
+    hold most of the text, only that counts; what would leave nothing is not applied.
     """
     blocks = page_blocks(page)
     kept = [b for b in blocks if not b.side] or blocks
     under: dict[int, list[Block]] = {}
     for b in kept:
-        for path in set(b.beside if removed is None else removed.intersection(b.paths)):
+        found = set(b.beside)
+        if template is not None:
+            found = (found - template.spared) | template.removed.intersection(b.paths)
+        for path in found:
             under.setdefault(path, []).append(b)
     gone = {path for path, part in under.items() if not _most(part, kept)}
     kept = [b for b in kept if gone.isdisjoint(b.paths)] or kept
-    article = [b for b in kept if b.article]
-    named = [b for b in kept if b.inside]
-    return " ".join(b.text for b in article or (named if _most(named, kept) else kept))
+    for part in ([b for b in kept if b.article], [b for b in kept if b.inside]):
+        if _most(part, kept):
+            return " ".join(b.text for b in part)
+    return " ".join(b.text for b in kept)
 
 
 def host_of(url) -> object:
@@ -242,9 +261,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removed_nodes(pages: DataFrame) -> DataFrame:
-    """(host, removed): hashes of the paths whose importance is low, for hosts with enough different pages.
+    """(host, removed, spared): hashes of paths of low importance, and of named ones without, for hosts with enough different pages.
 
-    ``pages`` has host and html. A page counts a node once, with all its occurrences; importance is
+    Only nodes that several pages share are listed, and numbers in names are one, so a host's list
+    is as long as its templates and not as its pages. ``pages`` has host and html. A page counts a node once, with all its occurrences; importance is
     the mean of the entropies, each divided by the logarithm of the pages that hold the node.
     """
     different = keep(pages.select("host", "html").mapInArrow(_nodes, _NODES).dropDuplicates(["host", "page"]), "page-nodes")
@@ -257,10 +277,12 @@ def removed_nodes(pages: DataFrame) -> DataFrame:
         (F.log("total") - F.col("bits") / F.col("total")) / F.log(F.least("total", F.lit(VARIETY))), F.lit(1.0))).otherwise(1.0)
     scale = F.when(F.col("name") < 0, BESIDE).when(F.col("name") > 0, INSIDE).otherwise(1.0)
     importance = spread.groupBy("host", "path", "name").agg(F.avg(entropy).alias("importance"), F.max("total").alias("total"))
-    low = F.when(F.col("total") < COMPARED, F.col("name") < 0).otherwise(F.col("importance") * scale < IMPORTANT)
-    removed = importance.where(low).groupBy("host").agg(F.collect_set("path").alias("removed"))
+    low = F.col("importance") * scale < IMPORTANT
+    none = F.expr("cast(array() as array<bigint>)")
+    found = importance.where((F.col("total") >= COMPARED) & (low | (F.col("name") < 0))).groupBy("host").agg(
+        F.collect_set(F.when(low, F.col("path"))).alias("removed"), F.collect_set(F.when(~low, F.col("path"))).alias("spared"))
     enough = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= COMPARED)
-    return enough.join(removed, "host", "left").select("host", F.coalesce("removed", F.expr("cast(array() as array<bigint>)")).alias("removed"))
+    return enough.join(found, "host", "left").select("host", F.coalesce("removed", none).alias("removed"), F.coalesce("spared", none).alias("spared"))
 
 
 _TEXTS = T.StructType([
@@ -271,7 +293,8 @@ _TEXTS = T.StructType([
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page.as_py(), frozenset(removed.as_py()) if removed.is_valid else None) for page, removed in zip(batch.column(2), batch.column(3))]
+        texts = [main_text(page.as_py(), Template(frozenset(removed.as_py()), frozenset(spared.as_py())) if removed.is_valid else None)
+                 for page, removed, spared in zip(batch.column(2), batch.column(3), batch.column(4))]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=_TEXTS.fieldNames())
@@ -287,4 +310,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host_of(F.col("url")))
     removed = keep(removed_nodes(rows), "removed-nodes")
-    return rows.join(removed, "host", "left").select("page_id", "url", "html", "removed").mapInArrow(_extract, _TEXTS)
+    return rows.join(removed, "host", "left").select("page_id", "url", "html", "removed", "spared").mapInArrow(_extract, _TEXTS)

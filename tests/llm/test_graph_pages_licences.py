@@ -1,6 +1,7 @@
 """Nearest neighbours, page texts, licence scans and the pipeline against direct computation."""
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -71,6 +72,18 @@ def test_every_node_can_be_reached():
     assert (nodes[:, 0] == np.arange(len(vectors))).mean() > 0.99
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=24)
+    rows = [(i, (base * 2.0 ** (i % 9)).tolist()) for i in range(400)]  # all exactly as near
+    rows += [(1000 + i, rng.normal(size=24).tolist()) for i in range(50)]
+    got = {}
+    for r in neighbour_graph.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 400, 50):
+        assert [v for _, v in sorted(got[q])] == [v for v in range(7) if v != q][:5]
+
+
 PAGES = "page_id long, url string, html string, text string, host string, removed string"
 
 
@@ -106,7 +119,7 @@ def test_importance_is_entropy(spark):
     pages = [("h", f"<div class=a>same</div><div class=b>text {i}</div>") for i in range(4)]
     removed = site_style.removed_nodes(spark.createDataFrame(pages, "host string, html string")).collect()
     assert [r.host for r in removed] == ["h"]
-    assert removed[0].removed == [site_style._hash(b"/div class=a")]
+    assert removed[0].removed == [site_style._hash(b"/div 0 class=a")]
 
 
 def _texts(spark, bodies, host="h.example"):
@@ -199,3 +212,58 @@ def test_pipeline(spark, tmp_path):
     assert kept[2].groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
     assert kept[3].select("doc_id").distinct().count() == kept[2].select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[3].count()
+
+
+def _blog(n, comments=0):
+    story = " ".join(f"word{n}x{k}" for k in range(30))
+    replies = "".join(f'<div id="comment-{n * 100 + k}"><p>Reply {n} {k}</p></div>' for k in range(comments))
+    return (f'<html><body class="single postid-{n}"><div class="tagline">Our daily line</div><div id="post-{n}" class="hentry post-{n}">'
+            f'<h1>Title {n}</h1><p>{story}</p></div><div id="comments-{n}">{replies}</div></body></html>'), f"Title {n} {story}"
+
+
+def test_numbered_names_share_a_template(spark):
+    sizes = []
+    for n in (8, 40):
+        pages = [(i, f"http://blog.example/{i}", _blog(i, 5)[0]) for i in range(n)]
+        frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+        for r in site_style.main_texts(frame).collect():
+            assert r.text == _blog(r.page_id)[1]
+        listed = site_style.removed_nodes(frame.withColumn("host", site_style.host_of(frame.url))).collect()
+        sizes.append([(len(r.removed), len(r.spared)) for r in listed])
+    assert sizes[0] == sizes[1]
+
+
+def test_teasers_do_not_win_over_the_story():
+    page = ('<body><div class="text"><p>' + "The whole story stands here. " * 20 + "</p></div><article><p>Teaser one</p></article>"
+            "<article><p>Teaser two</p></article></body>")
+    text = site_style.main_text(page, None)
+    assert text.startswith("The whole story stands here.") and text.endswith("Teaser one Teaser two")
+    whole = "<body><p>Skip</p><article><p>" + "Long text. " * 30 + "</p></article></body>"
+    assert site_style.main_text(whole, None) == ("Long text. " * 30).strip()
+
+
+def test_importance_equals_plain_entropies(spark):
+    rng = random.Random(12)
+    words = ["menu", "home", "about", "one", "two"]
+    pages = []
+    for i in range(40):
+        parts = "".join(f"<div class='c{'abc'[k]}'>{rng.choice(words[:k + 2])}{' ' + str(rng.random()) if k == 2 else ''}</div>" for k in range(3))
+        pages.append(("h", f"<body>{parts}{'<p>extra</p>' if rng.random() < 0.3 else ''}</body>"))
+    counts = {}
+    for page in {p for _, p in pages}:
+        nodes = {}
+        site_style.page_blocks(page, nodes)
+        for (path, kind, _), hashes in nodes.items():
+            if path:
+                counts.setdefault(path, {}).setdefault(kind, []).append(tuple(hashes))
+    low = set()
+    for path, kinds in counts.items():
+        values = []
+        for seen in kinds.values():
+            total = len(seen)
+            entropy = -sum(seen.count(h) / total * math.log(seen.count(h) / total) for h in set(seen))
+            values.append(min(entropy / math.log(min(total, site_style.VARIETY)), 1.0) if total > 1 else 1.0)
+        if len(next(iter(kinds.values()))) >= site_style.COMPARED and sum(values) / len(values) < site_style.IMPORTANT:
+            low.add(path)
+    got = site_style.removed_nodes(spark.createDataFrame(pages, "host string, html string")).first()
+    assert set(got.removed) == low and low
