@@ -569,8 +569,8 @@ ORACLE: dict[str, str] = {
           CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM o JOIN customer ON c_custkey = o_custkey"""),
     "graph_edges": _q("SELECT source, target, key, kind, amount_sats FROM edges", EDGES),
     "neighbourhood": _q("SELECT id, CAST(hop AS INTEGER) AS hop, CAST(rank AS INTEGER) AS rank FROM view", EDGES),
-    "neighbourhood_edges": _q("""SELECT source, target, key, kind FROM edges
-        WHERE source IN (SELECT id FROM view) AND target IN (SELECT id FROM view)""", EDGES),
+    "neighbourhood_edges": _q("""SELECT e.source, e.target, e.key, e.kind FROM edges e JOIN view a ON a.id = e.source
+        JOIN view b ON b.id = e.target""", EDGES),
     "join_coverage": JUDGED + """SELECT (SELECT count(*) FROM pred) AS addresses_in_predictions, (SELECT count(*) FROM truth) AS addresses_in_ground_truth,
         (SELECT count(*) FROM j) AS joined, (SELECT count(*) FROM pred ANTI JOIN truth USING (address)) AS in_predictions_only,
         (SELECT count(*) FROM truth ANTI JOIN pred USING (address)) AS in_ground_truth_only,
