@@ -112,7 +112,7 @@ def _round_cells(cells: pd.DataFrame) -> pd.DataFrame:
 
 def mixed_copies(docs: DataFrame, columns: Sequence[str], weights: Sequence[float] = WEIGHTS,
                  share: float = SHARE, most_copies: int = MOST_COPIES) -> DataFrame:
-    """``columns`` of every row plus _size, _source_size, _target and _copies (0 to ``most_copies``).
+    """``columns`` of every row as the struct _doc, and _size, _source_size, _target and _copies (0 to ``most_copies``).
 
     Null texts count 0 words; rows without words weigh nothing and are taken once. Null sources
     form the last source. An empty table stays empty. Repeated rows are rows of their own. Which
@@ -123,7 +123,7 @@ def mixed_copies(docs: DataFrame, columns: Sequence[str], weights: Sequence[floa
     spark = docs.sparkSession
     source = docs["source"].cast("string")
     rows = keep(docs.select(
-        *[docs[c] for c in columns], word_count(docs["text"]).alias("_size"),
+        F.struct(*[docs[c] for c in columns]).alias("_doc"), word_count(docs["text"]).alias("_size"),
         source.isNull().alias("_nameless"), F.coalesce(source, F.lit("")).alias("_name"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("_hash"),
         F.monotonically_increasing_id().alias("_row")), "rows")
@@ -156,7 +156,7 @@ def mixed_copies(docs: DataFrame, columns: Sequence[str], weights: Sequence[floa
     extra = F.coalesce(F.struct("_hash", "_row") <= F.col("_last"), F.lit(False)).cast("long")
     return (
         rows.join(full, _CELL, "left").join(sources.drop("key"), ["_nameless", "_name"])
-        .select(*columns, "_size", "_source_size", "_target",
+        .select("_doc", "_size", "_source_size", "_target",
                 F.when(F.col("_size") == 0, 1).otherwise(F.col("_each") + extra).alias("_copies"))
     )
 
@@ -192,7 +192,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     return (
         mixed_copies(docs, docs.columns, weights, share, most_copies)
         .where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
+        .select("_doc.*")
     )
 
 
@@ -200,5 +200,5 @@ def taken_words(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
                 most_copies: int = MOST_COPIES) -> DataFrame:
     """doc_id, size, source_size, target and taken (copies times size) for every row."""
     return mixed_copies(docs, ["doc_id"], weights, share, most_copies).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_doc.doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

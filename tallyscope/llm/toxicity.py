@@ -25,6 +25,8 @@ from tallyscope.llm.common import fold, short_batches, text_of
 
 SAMPLE = (3000, 2000)
 SAMPLE_BYTES = 40 << 20
+#: Bytes of a text that the fit still takes.
+LONGEST_TEXT = 1 << 20
 BUCKETS = 1 << 17
 DIMENSION = 8
 GRAMS = (3, 4, 5)
@@ -232,8 +234,9 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
 def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1) -> tuple[list[str], list[int]]:
     """Whole texts and labels of the fit: rows outside the held-out part, by order of a hash.
 
-    Takes at most ``SAMPLE`` clean and toxic documents and stops at ``SAMPLE_BYTES`` of text.
-    Null labels are left out; a document labelled more than once is toxic if one label says so.
+    Takes at most ``SAMPLE`` clean and toxic documents and ``SAMPLE_BYTES`` of text, dealt to the two
+    in the same proportion; a text above ``LONGEST_TEXT`` bytes is passed over and the next one taken.
+    A document id that occurs more than once gives its smallest text. Null labels are left out; a document labelled more than once is toxic if one label says so.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(labels, "doc_id", parts) != held_out))
@@ -244,10 +247,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
     for value, most in enumerate(SAMPLE):
         part = known.where(F.col("toxic") == value).orderBy("place", "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
-    upto = W.orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    sizes = texts.select("doc_id", "place", F.octet_length("text").alias("size")).withColumn("upto", F.sum("size").over(upto))
-    got = texts.join(F.broadcast(sizes.where(F.col("upto") <= SAMPLE_BYTES).select("doc_id").distinct()), "doc_id", "left_semi").select(
+    short = F.octet_length("text") <= LONGEST_TEXT
+    texts = (
+        docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).where(short).join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))
+    )
+    upto = W.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    share = F.when(F.col("toxic") == 1, SAMPLE[1] / sum(SAMPLE)).otherwise(SAMPLE[0] / sum(SAMPLE))
+    got = texts.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= SAMPLE_BYTES * share).select(
         "doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return got["text"].to_pylist(), got["toxic"].to_pylist()
 
@@ -282,4 +289,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
     score = score_column(docs.sparkSession, fit(*training_sample(docs, labels)))
-    return docs.withColumn("_score", score(text_of(docs))).where(F.col("_score") < threshold).select(*docs.columns)
+    scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), score(text_of(docs)).alias("score"))
+    return scored.where(F.col("score") < threshold).select("doc.*")

@@ -125,3 +125,34 @@ def test_mix_of_one_source_with_equal_rows(spark):
     assert mixing.mix_documents(df).count() == 15
     assert mixing.taken_words(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mix_documents(df).columns == df.columns
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    import corpus_pipeline
+    from tallyscope.llm import shingle_near, toxicity
+
+    rng = random.Random(1)
+    said = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta".split()) + str(rng.randrange(300)) for _ in range(40)) for _ in range(12)]
+    extra = ("digest", "keys", "_size", "_score", "_row", "doc", "_doc", "row", "id", "_name", "_hash", "_copies", "score", "set", "first")
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(i, t, "ab"[i % 2], *extra) for i, t in enumerate([*said, said[0], None])]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(9)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels, 2.0)
+    assert kept.columns == docs.columns and kept.count() == 14
+    one = shingle_near.one_per_class(docs)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == [*range(12), 13]
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and {r[3:] for r in mixed.collect()} == {extra}
+    assert corpus_pipeline.pack_sequences(spark, mixed, "").count() == mixed.count()
+
+
+def test_one_long_labelled_text_does_not_empty_the_sample(spark):
+    from tallyscope.llm import toxicity
+
+    rows = [(i, f"text {i}") for i in range(60)] + [(60, "x " * toxicity.LONGEST_TEXT), (7, "text again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
+    texts, marks = toxicity.training_sample(docs, labels)
+    want = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(texts) == sorted("text 7" if i == 7 else f"text {i}" for i in want) and sum(marks) == sum(i % 2 for i in want)
