@@ -360,7 +360,7 @@ def address_features(spark, folder):
 def event_gaps(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet").select(
         "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return median_gap(events, ["user_id"], DAY_US)
+    return median_gap(events, ["user_id"])
 
 
 @query
@@ -368,7 +368,7 @@ def event_peaks(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet").select(
         "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("start_us"))
     spans = events.withColumn("end_us", F.col("start_us") + DAY_US)
-    return peak_overlap(spans, ["user_id", "event_type"], 4 * DAY_US)
+    return peak_overlap(spans, ["user_id", "event_type"])
 
 
 # --- collection ------------------------------------------------------------------------

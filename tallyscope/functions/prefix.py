@@ -1,8 +1,9 @@
 """Running totals, sliding counts and gaps that never put one hot key into one task.
 
-Plain windows partition by key, so a key holding a third of all rows becomes one task. The
-helpers here cut every key into time buckets first, work inside (key, bucket), and join the
-buckets up through a per-bucket summary that is small: one row per bucket the key was active in.
+Plain windows partition by key, so a key holding a third of all rows becomes one task. Here only
+keys of at most ``HEAVY_ROWS`` rows are windowed whole. The rows of heavier keys are range-sorted
+by key and order, so a key covers as many blocks as its rows need however they lie in time; work
+is done inside (key, block) and joined up through one summary row per block of the key.
 """
 from __future__ import annotations
 
@@ -16,18 +17,49 @@ from tallyscope.functions.staging import stage
 
 _ROW_MASK = (1 << 33) - 1
 
+#: Rows of one key that a single window takes; a key with more is cut into blocks.
+HEAVY_ROWS = 200_000
 
-def _bucket(at: str, width_us: int) -> Column:
-    return F.expr(f"{at} div {int(width_us)}")
 
+def into_blocks(rows: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """Range-sorted ``rows`` with ``block``, a number that never falls along ``order``; equal rows share a block."""
+    return stage(rows.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), label)
 
-def peak_overlap(intervals: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
+
+def by_weight(rows: DataFrame, keys: Sequence[str], order: Sequence[str], heavy_rows: int,
+              label: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of light keys, rows of heavy keys with ``block``); the second is None without heavy keys.
+
+    Null keys count as light. There are at most rows / ``heavy_rows`` heavy keys; their table is staged,
+    so the optimizer knows its size when it picks the joins.
+    """
+    keys = list(keys)
+    placed = stage(rows, label)
+    heavy = stage(
+        placed.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys).na.drop(),
+        f"{label}-heavy")
+    if heavy.isEmpty():
+        return placed, None
+    return (placed.join(heavy, keys, "left_anti"),
+            into_blocks(placed.join(heavy, keys, "left_semi"), [*keys, *order], f"{label}-blocks"))
+
+
+def _open_steps(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sum of the steps, and the largest running sum with its earliest instant, per ``by``."""
+    inside = W.partitionBy(*by).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        steps.withColumn("open", F.sum("step").over(inside)).groupBy(*by)
+        .agg(F.sum("step").alias("net"), F.max(F.struct("open", (-F.col("at")).alias("neg_at"))).alias("best"))
+    )
+
+
+def peak_overlap(intervals: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Most intervals open at once per key, and the earliest instant that many are open.
 
     ``intervals`` has ``start_us`` and ``end_us`` (both inclusive). A sliding window of width W
     over events is the case of intervals [t, t + W]: the count at instant T is the number of
-    events in [T - W, T]. Every interval becomes +1 and -1 steps, steps are pre-summed per
-    instant on the map side, and the running sum is taken per (key, bucket).
+    events in [T - W, T]. Every interval becomes +1 and -1 steps, pre-summed per instant on the
+    map side. A block is summarised as (net, best prefix); blocks of a key combine like a scan.
     """
     keys = list(keys)
     steps = (
@@ -36,65 +68,68 @@ def peak_overlap(intervals: DataFrame, keys: Sequence[str], width_us: int) -> Da
             F.struct((F.col("end_us") + 1).alias("at"), F.lit(-1).cast("bigint").alias("step")),
         )).alias("s"))
         .select(*keys, F.col("s.at").alias("at"), F.col("s.step").alias("step"))
-        .withColumn("bucket", _bucket("at", width_us))
-        .groupBy(*keys, "bucket", "at").agg(F.sum("step").alias("step"))
-    )
-    inside = W.partitionBy(*keys, "bucket").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    per_bucket = (
-        steps.withColumn("open", F.sum("step").over(inside))
-        .groupBy(*keys, "bucket")
-        .agg(F.sum("step").alias("net"),
-             F.max(F.struct("open", (-F.col("at")).alias("neg_at"))).alias("best"))
+        .groupBy(*keys, "at").agg(F.sum("step").alias("step"))
     )
-    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        per_bucket.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
-        .groupBy(*keys)
-        .agg(F.max(F.struct((F.col("base") + F.col("best.open")).alias("open"),
-                            F.col("best.neg_at").alias("neg_at"))).alias("best"))
-        .select(*keys, F.col("best.open").alias("peak"), (-F.col("best.neg_at")).alias("peak_us"))
-    )
-
-
-def gap_histogram(events: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
-    """Gaps between consecutive events of each key as (key, gap_us, weight).
-
-    ``events`` has ``at`` in microseconds. Equal instants collapse to one row first; neighbours
-    inside a bucket come from ``lag`` and the step across buckets from the bucket summaries.
-    """
-    keys = list(keys)
-    points = (
-        events.select(*keys, "at").withColumn("bucket", _bucket("at", width_us))
-        .groupBy(*keys, "bucket", "at").agg(F.count("*").alias("n"))
-    )
-    inside = W.partitionBy(*keys, "bucket").orderBy("at")
-    one = F.lit(1).cast("bigint")
-    walked = points.withColumn("gap_us", F.col("at") - F.lag("at").over(inside))
-    within = walked.select(*keys, F.explode(F.array_compact(F.array(
+    light, heavy = by_weight(steps, keys, ["at"], heavy_rows, "peak-steps")
+    best = _open_steps(light, keys).select(*keys, "best")
+    if heavy is not None:
+        before = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        best = best.unionByName(
+            _open_steps(heavy, [*keys, "block"])
+            .withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0)))
+            .groupBy(*keys)
+            .agg(F.max(F.struct((F.col("base") + F.col("best.open")).alias("open"),
+                                F.col("best.neg_at").alias("neg_at"))).alias("best")))
+    return best.select(*keys, F.col("best.open").alias("peak"), (-F.col("best.neg_at")).alias("peak_us"))
+
+
+def _gaps(points: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(key, gap_us, weight) of the neighbours inside ``by``; equal instants give gaps of zero."""
+    gap = F.col("at") - F.lag("at").over(W.partitionBy(*by).orderBy("at"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return points.withColumn("gap_us", gap).select(*keys, F.explode(F.array_compact(F.array(
         F.when(F.col("gap_us").isNotNull(), F.struct(F.col("gap_us").alias("gap_us"), one.alias("weight"))),
-        F.when(F.col("n") > 1, F.struct(F.lit(0).cast("bigint").alias("gap_us"),
-                                        (F.col("n") - 1).alias("weight"))),
+        F.when(F.col("n") > 1, F.struct(zero.alias("gap_us"), (F.col("n") - 1).alias("weight"))),
     ))).alias("g")).select(*keys, "g.gap_us", "g.weight")
-    across = (
-        points.groupBy(*keys, "bucket").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .withColumn("gap_us", F.col("first") - F.lag("last").over(W.partitionBy(*keys).orderBy("bucket")))
-        .where("gap_us is not null")
-        .select(*keys, "gap_us", one.alias("weight"))
-    )
-    return within.unionByName(across)
-
 
-def median_gap(events: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
-    """Exact median gap per key.
 
-    The aggregate keeps one counter per distinct gap. Distinct gaps of a key add up to at most
-    its time span, so there are never more than sqrt(2 x span) of them whatever the row count
-    (about 31,000 for fifteen years of whole-second instants).
+def _middle(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Median by rank: weights are summed along a range sort, the middle ranks are looked up."""
+    blocks = into_blocks(gaps.groupBy(*keys, "gap_us").agg(F.sum("weight").alias("weight")), [*keys, "gap_us"], "gap-ranks")
+    sizes = blocks.groupBy(*keys, "block").agg(F.sum("weight").alias("held"))
+    whole = W.partitionBy(*keys)
+    bases = sizes.select(
+        *keys, "block", F.sum("held").over(whole).alias("total"),
+        F.coalesce(F.sum("held").over(whole.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = W.partitionBy(*keys, "block").orderBy("gap_us").rowsBetween(W.unboundedPreceding, 0)
+    ranked = blocks.withColumn("inside", F.sum("weight").over(inside)).join(bases, [*keys, "block"])
+    upto = F.col("base") + F.col("inside")
+    holds = lambda rank: (rank < upto) & (rank >= upto - F.col("weight"))
+    low, high = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    return ranked.where(holds(low) | holds(high)).groupBy(*keys).agg(
+        ((F.min("gap_us") + F.max("gap_us")) / 2.0).alias("median_gap_us"))
+
+
+def median_gap(events: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Exact median gap between consecutive events (``at`` in microseconds) of each key.
+
+    Equal instants collapse to one counted row first. A light key's gaps fit one aggregate buffer.
+    A heavy key's gaps are taken block by block, the step between blocks from their first and last
+    instants, and the median is picked by rank, so no buffer grows with the key.
     """
-    return (
-        gap_histogram(events, keys, width_us)
-        .groupBy(*keys).agg(F.expr("percentile(gap_us, 0.5D, weight)").alias("median_gap_us"))
+    keys = list(keys)
+    points = events.select(*keys, "at").groupBy(*keys, "at").agg(F.count("*").alias("n"))
+    light, heavy = by_weight(points, keys, ["at"], heavy_rows, "gap-points")
+    found = _gaps(light, keys, keys).groupBy(*keys).agg(
+        F.expr("percentile(gap_us, 0.5D, weight)").alias("median_gap_us"))
+    if heavy is None:
+        return found
+    across = (
+        heavy.groupBy(*keys, "block").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .withColumn("gap_us", F.col("first") - F.lag("last").over(W.partitionBy(*keys).orderBy("block")))
+        .where("gap_us is not null").select(*keys, "gap_us", F.lit(1).cast("bigint").alias("weight"))
     )
+    return found.unionByName(_middle(_gaps(heavy, keys, [*keys, "block"]).unionByName(across), keys))
 
 
 def running_total(df: DataFrame, order: Sequence[Column | str], totals: Mapping[str, Column | str],

@@ -69,9 +69,8 @@ def payer_stretches(events: DataFrame, config: Collection) -> DataFrame:
 
 def best_window(events: DataFrame, config: Collection) -> DataFrame:
     """Most distinct payers in any inclusive window per receiver, and when it is first reached."""
-    width = 4 * max(hours_us(config.window_hours), 1)
     return (
-        peak_overlap(payer_stretches(events, config), ["receiver"], width)
+        peak_overlap(payer_stretches(events, config), ["receiver"])
         .where(F.col("peak") >= config.min_distinct_payers)
         .select("receiver", F.col("peak").alias("distinct_payers"), "peak_us")
     )

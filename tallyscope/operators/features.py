@@ -10,9 +10,6 @@ from tallyscope.operators.activity import address_activity, counterparties
 from tallyscope.operators.cocontrol import repeated_partners
 from tallyscope.settings import DAY_US, FEATURE_ORDER, FEATURE_SCHEMA
 
-_GAP_BUCKET_US = 32 * DAY_US
-_PEAK_BUCKET_US = 8 * DAY_US
-
 FEATURE_MEANING = {
     "tx_count": "transactions the address appears in",
     "incoming_tx_count": "transactions paying the address",
@@ -38,12 +35,12 @@ FEATURE_MEANING = {
 def busiest_day(address_tx: DataFrame) -> DataFrame:
     """Most transactions of each address in any inclusive 24-hour window."""
     spans = address_tx.select("address", F.col("ts_us").alias("start_us"), (F.col("ts_us") + DAY_US).alias("end_us"))
-    return peak_overlap(spans, ["address"], _PEAK_BUCKET_US).select("address", F.col("peak").alias("max_tx_in_24h"))
+    return peak_overlap(spans, ["address"]).select("address", F.col("peak").alias("max_tx_in_24h"))
 
 
 def inter_event_gaps(address_tx: DataFrame) -> DataFrame:
     """Exact median gap between consecutive transactions; no row for single-event addresses."""
-    return median_gap(address_tx.select("address", F.col("ts_us").alias("at")), ["address"], _GAP_BUCKET_US)
+    return median_gap(address_tx.select("address", F.col("ts_us").alias("at")), ["address"])
 
 
 def address_profiles(marked: DataFrame, address_tx: DataFrame) -> DataFrame:

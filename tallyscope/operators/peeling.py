@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyscope.functions import entries
-from tallyscope.functions.prefix import position_within
+from tallyscope.functions.prefix import HEAVY_ROWS, by_weight, position_within
 from tallyscope.functions.staging import release, stage
 from tallyscope.settings import RULE_SEVERITY, SIDE_RECIPIENT_SEVERITY, Peeling, hours_us
 
@@ -22,34 +22,34 @@ def peel_steps(marked: DataFrame, config: Peeling) -> DataFrame:
     )
 
 
-def next_hop(steps: DataFrame, spends: DataFrame, max_gap_hours: float) -> DataFrame:
+def next_hop(steps: DataFrame, spends: DataFrame, max_gap_hours: float, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Earliest later spend of each step's dominant address within the gap.
 
-    "Later" is strictly later in (time, txid) order. Addresses are cut into buckets one gap
-    wide, so a match lies in the step's bucket or is the first spend of the next one; a copy of
-    that first spend closes each bucket and no range join is needed.
+    "Later" is strictly later in (time, txid) order: an as-of join, done by reading both sides of
+    an address backwards. A heavy address lies in blocks of a range sort; what a block does not
+    find itself is the first spend of the nearest later block that has one, so any gap will do.
     """
-    gap = hours_us(max_gap_hours)
-    width = max(gap, 1)
-    bucket = F.expr(f"ts_us div {width}")
-    paid = spends.select("address", "ts_us", "txid", bucket.alias("bucket"), F.lit(1).alias("kind"))
-    closing = (
-        paid.groupBy("address", "bucket").agg(F.min(F.struct("ts_us", "txid")).alias("s"))
-        .select("address", "s.ts_us", "s.txid", (F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("kind"))
-    )
-    probes = steps.select("address", "ts_us", "txid", bucket.alias("bucket"), F.lit(0).alias("kind"))
-    backwards = (
-        W.partitionBy("address", "bucket").orderBy(F.desc("ts_us"), F.desc("txid"), "kind")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
+    paid = spends.select("address", "ts_us", "txid", F.lit(1).alias("kind"))
+    probes = steps.select("address", "ts_us", "txid", F.lit(0).alias("kind"))
+    light, heavy = by_weight(probes.unionByName(paid), ["address"], ["ts_us", "txid"], heavy_rows, "next-hop")
     spend = F.when(F.col("kind") == 1, F.struct("ts_us", "txid"))
-    return (
-        probes.unionByName(paid).unionByName(closing)
-        .withColumn("next", F.last(spend, ignorenulls=True).over(backwards))
-        .where((F.col("kind") == 0) & (F.col("next.ts_us") - F.col("ts_us") <= gap))
-        .select("txid", "ts_us", "address", F.col("next.txid").alias("next_txid"),
-                F.col("next.ts_us").alias("next_us"))
-    )
+
+    def read_back(rows: DataFrame, *by: str) -> DataFrame:
+        backwards = W.partitionBy(*by).orderBy(F.desc("ts_us"), F.desc("txid"), "kind").rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumn("next", F.last(spend, ignorenulls=True).over(backwards)).where("kind = 0")
+
+    found = read_back(light, "address").select("address", "ts_us", "txid", "next")
+    if heavy is not None:
+        later = W.partitionBy("address").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+        carried = (
+            heavy.groupBy("address", "block").agg(F.min(spend).alias("first"))
+            .select("address", "block", F.last("first", ignorenulls=True).over(later).alias("carried"))
+        )
+        found = found.unionByName(
+            read_back(heavy, "address", "block").join(carried, ["address", "block"])
+            .select("address", "ts_us", "txid", F.coalesce("next", "carried").alias("next")))
+    return found.where(F.col("next.ts_us") - F.col("ts_us") <= hours_us(max_gap_hours)).select(
+        "txid", "ts_us", "address", F.col("next.txid").alias("next_txid"), F.col("next.ts_us").alias("next_us"))
 
 
 def _heads(links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.functions import entries
-from tallyscope.functions.prefix import dense_index, median_gap, peak_overlap, position_within, running_total
+from tallyscope.functions.prefix import by_weight, dense_index, median_gap, peak_overlap, position_within, running_total
 from tallyscope.operators import activity, collection, peeling
 from tallyscope.operators.components import connected_components
 from tallyscope.settings import HOUR_US, Collection
@@ -22,8 +22,8 @@ def test_peak_overlap_with_one_hot_key(spark):
         times = [t for k, t in events if k == key]
         best = max(((sum(1 for u in times if t - width <= u <= t), -t) for t in times))
         want[key] = (best[0], -best[1])
-    for bucket in (7, 100, 100_000):
-        got = {r.key: (r.peak, r.peak_us) for r in peak_overlap(df, ["key"], bucket).collect()}
+    for heavy in (1, 300, 100_000):
+        got = {r.key: (r.peak, r.peak_us) for r in peak_overlap(df, ["key"], heavy).collect()}
         assert got == want
 
 
@@ -40,8 +40,36 @@ def test_median_gap(spark):
         times.sort()
         want[key] = statistics.median(b - a for a, b in zip(times, times[1:]))
     df = spark.createDataFrame(events, "key string, at bigint")
-    for bucket in (10, 100_000):
-        assert {r.key: r.median_gap_us for r in median_gap(df, ["key"], bucket).collect()} == want
+    for heavy in (1, 300, 100_000):
+        assert {r.key: r.median_gap_us for r in median_gap(df, ["key"], heavy).collect()} == want
+
+
+def test_a_hot_key_is_spread_whatever_its_times(spark):
+    # all within one second, so no fixed width of time would cut it
+    df = spark.range(0, 40_000, 1, 4).select(F.lit("hot").alias("key"), (F.col("id") * 17 % 40_009).alias("at"))
+    df = df.unionByName(spark.range(50).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.col("id").alias("at")))
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        light, heavy = by_weight(df, ["key"], ["at"], 1000, "spread")
+        sizes = [r["count"] for r in heavy.groupBy("block").count().collect()]
+        edges = heavy.groupBy("block").agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy("block").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert light.count() == 50 and sum(sizes) == 40_000
+    assert len(sizes) >= 4 and max(sizes) < 40_000 / 2
+    assert all(p.b < n.a for p, n in zip(edges, edges[1:]))
+
+
+def test_null_and_empty_keys_of_hot_key_helpers(spark):
+    schema = "key string, at bigint, start_us bigint, end_us bigint"
+    rows = [(None, t, t, t + 3) for t in range(20)] + [("a", 5, 5, 5), ("b", 1, 1, 9), ("b", 1, 1, 9)]
+    for heavy in (1, 1000):
+        df = spark.createDataFrame(rows, schema)
+        assert {r.key: r.peak for r in peak_overlap(df, ["key"], heavy).collect()} == {None: 4, "a": 1, "b": 2}
+        assert {r.key: r.median_gap_us for r in median_gap(df, ["key"], heavy).collect()} == {None: 1.0, "b": 0.0}
+        nothing = spark.createDataFrame([], schema)
+        assert peak_overlap(nothing, ["key"], heavy).count() == median_gap(nothing, ["key"], heavy).count() == 0
 
 
 def test_global_orders(spark):
@@ -127,8 +155,9 @@ def test_next_hop_is_earliest_later_spend(spark):
         if later:
             want[tx] = min(later)
     columns = "txid string, address string, ts_us bigint"
-    got = peeling.next_hop(spark.createDataFrame(steps, columns), spark.createDataFrame(spends, columns), 7.0)
-    assert {r.txid: (r.next_us, r.next_txid) for r in got.collect()} == want
+    for heavy in (1, 60, 100_000):
+        got = peeling.next_hop(spark.createDataFrame(steps, columns), spark.createDataFrame(spends, columns), 7.0, heavy)
+        assert {r.txid: (r.next_us, r.next_txid) for r in got.collect()} == want
 
 
 def test_components(spark):
