@@ -3,10 +3,11 @@
 Everything is DataFrame and SQL code. Known notices and their parts are the training paragraphs of
 each licence family, legal-sounding sentences and paragraphs of the corpus are the "unknown" class.
 A multinomial logistic regression over single words and word pairs is trained by gradient rounds,
-each two small joins and sums. Every paragraph of every document is scored by joining its n-grams
-with the weight table, whose size is set by the notices and not by the corpus; a family counts when
-its calibrated probability passes the limit that held-out unknown paragraphs set, and is confirmed
-when the paragraph shares enough word pairs with one of the family's notices.
+each two small joins and sums. Paragraphs are lines; they are cut into sentences, and long sentences
+into overlapping windows of words, so notices that share a line are told apart. Every window of every
+document is scored by joining its n-grams with the weight table, whose size is set by the notices and
+not by the corpus; a family counts when its calibrated probability passes the limit that held-out
+unknown windows set, and is confirmed when the window shares enough word pairs with one of its notices.
 """
 from __future__ import annotations
 
@@ -88,6 +89,9 @@ SAMPLE_PARAGRAPHS = 4000
 ROUNDS = 12
 STEP = 0.7
 DECAY = 0.002
+#: Where a sentence ends, and the words a window has at most; windows of a longer sentence overlap by half.
+SENTENCE_END = r"(?<=[.!?])\s+"
+WINDOW = 64
 #: Least probability of a family, and least share of word pairs with a notice.
 LEAST = 0.5
 OVERLAP = 0.5
@@ -97,6 +101,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
+def windows(found: Column) -> Column:
+    """The words of a sentence as one window, or as several that overlap by half."""
+    half = WINDOW // 2
+    last = F.ceil((F.size(found) - WINDOW) / half).cast("int")
+    return F.when(F.size(found) <= WINDOW, F.array(found)).otherwise(
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * half + 1, F.lit(WINDOW))))
+
+
 def n_grams(found: Column) -> Column:
     """Single words and pairs of neighbours."""
     size = F.size(found)
@@ -112,9 +124,9 @@ def _notices(spark: SparkSession) -> DataFrame:
 
 
 def training_paragraphs(docs: DataFrame) -> DataFrame:
-    """(example, family, gram, held): notices, their halves and thirds, and paragraphs of the corpus.
+    """(example, family, gram, held): notices, their sentences, halves and thirds, and windows of the corpus.
 
-    Corpus paragraphs come from ``SAMPLE_DOCUMENTS`` documents by order of a hash and are unknown,
+    Corpus paragraphs, cut like those that are scored, come from ``SAMPLE_DOCUMENTS`` documents by order of a hash and are unknown,
     unless half of their word pairs are a notice's: those are left out. A fifth of the examples is
     held for calibration.
     """
@@ -124,12 +136,17 @@ def training_paragraphs(docs: DataFrame) -> DataFrame:
     parts = [F.col("words")] + [
         F.slice("words", F.floor(size * i / n).cast("int") + 1, F.greatest(F.ceil(size / n).cast("int"), F.lit(3)))
         for n in (2, 3) for i in range(n)]
-    known = notices.select("family", F.explode(F.array(*parts)).alias("words")).where(F.size("words") >= 2)
+    known = notices.select("family", F.explode(F.array(*parts)).alias("words")).unionByName(
+        notices.select("family", F.explode(F.split("text", SENTENCE_END)).alias("text")).select("family", words(F.col("text")).alias("words"))
+    ).where(F.size("words") >= 2)
     at = F.xxhash64("doc_id").alias("at")
     picked = docs.select(at).distinct().orderBy("at").limit(SAMPLE_DOCUMENTS)
     sample = docs.select(text_of(docs).alias("text"), at).join(F.broadcast(picked), "at", "left_semi")
     lines = sample.select(F.explode(F.split("text", "\n")).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS)
-    corpus = lines.select(words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    corpus = (
+        lines.select(F.explode(F.split("text", SENTENCE_END)).alias("text")).select(words(F.col("text")).alias("words"))
+        .select(F.explode(windows(F.col("words"))).alias("words")).where(F.size("words") > 0)
+    )
     pairs = notices.where(F.col("family") != UNKNOWN).select(
         F.explode(n_grams(F.col("words"))).alias("gram")).where("gram like '% %'").distinct().orderBy("gram").collect()
     of_notices = F.array(*[F.lit(r["gram"]) for r in pairs])  # as many as the fixed wordings have
@@ -195,9 +212,9 @@ def train(docs: DataFrame) -> tuple[DataFrame, float]:
 
 
 def paragraph_findings(docs: DataFrame, weights: DataFrame, limit: float) -> DataFrame:
-    """(row, doc_id, paragraph, family, probability, overlap): paragraphs of a licence family.
+    """(row, doc_id, paragraph, window, family, probability, overlap): windows of a licence family.
 
-    Paragraphs are lines. Each document adds one row with paragraph -1 and no family, so that all
+    Paragraphs are lines, ``window`` tells the windows of one apart. Each document adds one row with paragraph -1 and no family, so that all
     documents are there. ``row`` numbers the rows of ``docs``.
     """
     spark = docs.sparkSession
@@ -208,50 +225,57 @@ def paragraph_findings(docs: DataFrame, weights: DataFrame, limit: float) -> Dat
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     lines = numbered.select("row", "doc_id", F.posexplode(
         F.concat(F.split("text", "\n"), F.array(F.lit(None).cast("string")))).alias("paragraph", "line"))
-    found = lines.select("row", "doc_id", F.when(F.col("line").isNull(), -1).otherwise(F.col("paragraph")).alias("paragraph"),
-                         words(F.col("line")).alias("words"))
-    grams = found.select("row", "doc_id", "paragraph", F.size("words").alias("n_words"), F.explode(
+    sentences = lines.select(
+        "row", "doc_id", F.when(F.col("line").isNull(), -1).otherwise(F.col("paragraph")).alias("paragraph"),
+        F.posexplode_outer(F.split("line", SENTENCE_END)).alias("sentence", "text")).withColumn("words", words(F.col("text")))
+    found = sentences.select(
+        "row", "doc_id", "paragraph", "sentence", F.posexplode_outer(windows(F.col("words"))).alias("part", "words")).withColumn(
+        "window", F.coalesce(F.shiftleft(F.col("sentence").cast("bigint"), 32) + F.col("part"), F.lit(0).cast("bigint")))
+    grams = found.select("row", "doc_id", "paragraph", "window", F.size("words").alias("n_words"), F.explode(
         F.when(F.col("words").isNull(), F.array(F.lit(""))).otherwise(n_grams(F.col("words")))).alias("gram"))
     table_of = keep(weights.join(marks, "gram", "full").withColumn("notices", F.coalesce("notices", F.array().cast("array<int>"))).select(
         "gram", "notices", *[F.coalesce(w, F.lit(0.0)).alias(w) for w in _columns("w")]), "licence-table")
     bias = weights.where("gram = ''").select(*_columns("w")).first() or [0.0] * len(FAMILIES)
     hits = grams.join(F.broadcast(table_of), "gram")
-    once = hits.groupBy("row", "doc_id", "paragraph", "n_words", "gram").agg(
+    once = hits.groupBy("row", "doc_id", "paragraph", "window", "n_words", "gram").agg(
         F.first("notices").alias("notices"), *[F.first(w).alias(w) for w in _columns("w")])
-    per = once.groupBy("row", "doc_id", "paragraph", "n_words").agg(
+    per = once.groupBy("row", "doc_id", "paragraph", "window", "n_words").agg(
         F.flatten(F.collect_list("notices")).alias("notices"),
         *[(F.sum(w) + F.when(F.col("paragraph") >= 0, b).otherwise(0.0)).alias(w) for w, b in zip(_columns("w"), bias)])
     chance = _probabilities(per)
     best = F.greatest(*[F.struct(F.col(p).alias("p"), F.lit(f).alias("family")) for p, f in zip(_columns("p")[:-1], FAMILIES)])
     scored = keep(chance.withColumn("best", best).select(
-        "row", "doc_id", "paragraph", "n_words", "notices",
+        "row", "doc_id", "paragraph", "window", "n_words", "notices",
         F.when((F.col("paragraph") >= 0) & (F.col("best.p") >= limit), F.col("best.family")).alias("family"), F.col("best.p").alias("probability")),
         "licence-scores")
     shared = (
-        scored.where(F.col("family").isNotNull()).select("row", "paragraph", "n_words", "family", F.explode("notices").alias("notice"))
-        .groupBy("row", "paragraph", "n_words", "family", "notice").agg(F.count("*").alias("both"))
+        scored.where(F.col("family").isNotNull()).select("row", "paragraph", "window", "n_words", "family", F.explode("notices").alias("notice"))
+        .groupBy("row", "paragraph", "window", "n_words", "family", "notice").agg(F.count("*").alias("both"))
         .join(F.broadcast(sizes), ["notice", "family"])
-        .groupBy("row", "paragraph").agg(F.max(F.col("both") / F.greatest(F.least(F.col("pairs"), F.col("n_words") - 1), F.lit(1))).alias("overlap"))
+        .groupBy("row", "paragraph", "window").agg(F.max(F.col("both") / F.greatest(F.least(F.col("pairs"), F.col("n_words") - 1), F.lit(1))).alias("overlap"))
     )
-    return scored.where("family is not null or paragraph = -1").join(shared, ["row", "paragraph"], "left").select(
-        "row", "doc_id", "paragraph", "family", F.when(F.col("family").isNotNull(), F.col("probability")).alias("probability"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    return scored.where("family is not null or paragraph = -1").join(shared, ["row", "paragraph", "window"], "left").select(
+        "row", "doc_id", "paragraph", "window", "family", F.when(F.col("family").isNotNull(), F.col("probability")).alias("probability"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
+def scan_licences(docs: DataFrame, fitted: tuple[DataFrame, float] | None = None) -> DataFrame:
     """One row per document: the licence families its paragraphs carry.
 
-    doc_id; family (of the most probable confirmed paragraph, "unknown" if a paragraph is only
-    classified, null if none is); families (all confirmed, sorted); paragraphs (classified) and
-    confirmed (of these, with the template's wording); probability (the highest). Null texts are
+    doc_id; family (of the most probable confirmed window, "unknown" if a window is only
+    classified, null if none is); families (all confirmed, sorted); paragraphs (with a classified
+    window) and confirmed (of these, with the template's wording); probability (the highest). Two
+    families named within one sentence count as the more probable one. ``fitted`` is what
+    :func:`train` returned; without it the model is trained on ``docs``. Null texts are
     empty, have no family; repeated rows and null ids give a row each; further columns are ignored.
     """
-    weights, limit = train(docs)
+    weights, limit = fitted or train(docs)
     found = paragraph_findings(docs, weights, limit)
     sure = F.col("family").isNotNull() & (F.col("overlap") >= OVERLAP)
     per = found.groupBy("row", "doc_id").agg(
         F.max(F.when(sure, F.struct("probability", "family"))).alias("top"),
         F.sort_array(F.collect_set(F.when(sure, F.col("family")))).alias("families"),
-        F.count("family").alias("paragraphs"), F.count(F.when(sure, 1)).alias("confirmed"), F.max("probability").alias("probability"))
+        F.count_distinct(F.when(F.col("family").isNotNull(), F.col("paragraph"))).alias("paragraphs"),
+        F.count_distinct(F.when(sure, F.col("paragraph"))).alias("confirmed"), F.max("probability").alias("probability"))
     return per.select(
         "doc_id", F.coalesce("top.family", F.when(F.col("paragraphs") > 0, F.lit(UNKNOWN))).alias("family"), "families",
         "paragraphs", "confirmed", "probability")

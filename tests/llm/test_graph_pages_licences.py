@@ -180,6 +180,46 @@ def test_licences(spark):
     assert licence_scan.scan_licences(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_licences_that_share_a_line(spark):
+    """Windows, probabilities and overlaps against plain loops over the weight table; both families of a line are found."""
+    import math
+    import re
+
+    apache, mit = licence_scan.NOTICES["Apache"][3], licence_scan.NOTICES["MIT"][2]
+    gpl = licence_scan.NOTICES["GPL"][0]
+    rng = random.Random(9)
+    filler = [f"{a}{b}" for a in ("wo", "ne", "ta", "ri") for b in ("ran", "lim", "dor", "kes", "pun")]
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = [f"{mit} {apache}", f"{some(700)}. {apache} {some(300)}. {mit} {some(900)}", f"{some(150)} {gpl} {some(150)}",
+             some(400), "", ". . ! ?", f"{some(40)}.\n{apache}\n{mit}", some(64), some(65), some(96), some(97)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights, limit = licence_scan.train(docs)
+    table = {r["gram"]: [r[f"w{k}"] for k in range(len(licence_scan.FAMILIES))] for r in weights.collect()}
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:])]
+    want = []
+    for doc, text in enumerate(texts):
+        for number, line in enumerate(text.split("\n")):
+            for sentence in re.split(licence_scan.SENTENCE_END, line):
+                found = words(sentence)
+                starts = [0] if len(found) <= 64 else range(0, math.ceil((len(found) - 64) / 32) * 32 + 1, 32)
+                for window in (found[i:i + 64] for i in starts):
+                    grams = set(window) | set(pairs(window))
+                    sums = [sum(column) for column in zip(table[""], *(table[g] for g in sorted(grams) if g in table))]
+                    total = sum(math.exp(v) for v in sums)
+                    chance = max((math.exp(v) / total, f) for v, f in zip(sums, list(licence_scan.NOTICES)))
+                    if not any(g in table for g in grams) or chance[0] < limit:
+                        continue
+                    of_family = [set(pairs(words(n))) for n in licence_scan.NOTICES[chance[1]]]
+                    overlap = max((len(n & set(pairs(window))) / max(min(len(n), len(window) - 1), 1) for n in of_family if n), default=0.0)
+                    want.append((doc, number, chance[1], round(chance[0], 6), round(overlap, 6)))
+    got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 6), round(r.overlap, 6))
+           for r in licence_scan.paragraph_findings(docs, weights, limit).where("family is not null").collect()]
+    assert sorted(got) == sorted(want) and len(want) >= 6
+    families = {r.doc_id: r.families for r in licence_scan.scan_licences(docs, (weights, limit)).collect()}
+    assert families == {d: ["Apache", "MIT"] if d in (0, 1, 6) else ["GPL"] if d == 2 else [] for d in range(len(texts))}
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(4)
