@@ -92,6 +92,9 @@ DECAY = 0.002
 #: Where a sentence ends, and the words a window has at most; windows of a longer sentence overlap by half.
 SENTENCE_END = r"(?<=[.!?])\s+"
 WINDOW = 64
+#: Counts packed into one long, and the bits of each.
+TALLIES = 8
+TALLY_BITS = 8
 #: Least probability of a family, and least share of word pairs with a notice.
 LEAST = 0.5
 OVERLAP = 0.5
@@ -215,13 +218,17 @@ def paragraph_findings(docs: DataFrame, weights: DataFrame, limit: float) -> Dat
     """(row, doc_id, paragraph, window, family, probability, overlap): windows of a licence family.
 
     Paragraphs are lines, ``window`` tells the windows of one apart. Each document adds one row with paragraph -1 and no family, so that all
-    documents are there. ``row`` numbers the rows of ``docs``.
+    documents are there. ``row`` numbers the rows of ``docs``. Pairs shared with each notice are tallied with the weights in one
+    aggregation: a long holds ``TALLIES`` counts, and a window has fewer than ``WINDOW`` pairs, so none runs over into the next.
     """
     spark = docs.sparkSession
     notices = _notices(spark).where(F.col("family") != UNKNOWN).withColumn("words", words(F.col("text")))
     gram_of = notices.select("notice", "family", F.explode(F.array_distinct(n_grams(F.col("words")))).alias("gram")).where("gram like '% %'")
-    marks = gram_of.groupBy("gram").agg(F.collect_set("notice").alias("notices"))
-    sizes = gram_of.groupBy("notice", "family").agg(F.count("*").alias("pairs"))
+    sizes = gram_of.groupBy("notice", "family").agg(F.count("*").alias("pairs")).orderBy("notice").collect()  # one row per fixed wording
+    tallies = [f"m{j}" for j in range(max(r["notice"] for r in sizes) // TALLIES + 1)]
+    one = F.expr(f"shiftleft(1L, cast(notice % {TALLIES} * {TALLY_BITS} as int))")
+    marks = gram_of.groupBy("gram").agg(*[
+        F.sum(F.when(F.floor(F.col("notice") / TALLIES) == j, one).otherwise(0)).alias(m) for j, m in enumerate(tallies)])
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     lines = numbered.select("row", "doc_id", F.posexplode(
         F.concat(F.split("text", "\n"), F.array(F.lit(None).cast("string")))).alias("paragraph", "line"))
@@ -232,30 +239,25 @@ def paragraph_findings(docs: DataFrame, weights: DataFrame, limit: float) -> Dat
         "row", "doc_id", "paragraph", "sentence", F.posexplode_outer(windows(F.col("words"))).alias("part", "words")).withColumn(
         "window", F.coalesce(F.shiftleft(F.col("sentence").cast("bigint"), 32) + F.col("part"), F.lit(0).cast("bigint")))
     grams = found.select("row", "doc_id", "paragraph", "window", F.size("words").alias("n_words"), F.explode(
-        F.when(F.col("words").isNull(), F.array(F.lit(""))).otherwise(n_grams(F.col("words")))).alias("gram"))
-    table_of = keep(weights.join(marks, "gram", "full").withColumn("notices", F.coalesce("notices", F.array().cast("array<int>"))).select(
-        "gram", "notices", *[F.coalesce(w, F.lit(0.0)).alias(w) for w in _columns("w")]), "licence-table")
+        F.when(F.col("words").isNull(), F.array(F.lit(""))).otherwise(F.array_distinct(n_grams(F.col("words"))))).alias("gram"))
+    table_of = keep(weights.join(marks, "gram", "full").select("gram", *[
+        F.coalesce(c, F.lit(0)).alias(c) for c in (*tallies, *_columns("w"))]), "licence-table")
     bias = weights.where("gram = ''").select(*_columns("w")).first() or [0.0] * len(FAMILIES)
-    hits = grams.join(F.broadcast(table_of), "gram")
-    once = hits.groupBy("row", "doc_id", "paragraph", "window", "n_words", "gram").agg(
-        F.first("notices").alias("notices"), *[F.first(w).alias(w) for w in _columns("w")])
-    per = once.groupBy("row", "doc_id", "paragraph", "window", "n_words").agg(
-        F.flatten(F.collect_list("notices")).alias("notices"),
+    per = grams.join(F.broadcast(table_of), "gram").groupBy("row", "doc_id", "paragraph", "window", "n_words").agg(
+        *[F.sum(m).alias(m) for m in tallies],
         *[(F.sum(w) + F.when(F.col("paragraph") >= 0, b).otherwise(0.0)).alias(w) for w, b in zip(_columns("w"), bias)])
-    chance = _probabilities(per)
-    best = F.greatest(*[F.struct(F.col(p).alias("p"), F.lit(f).alias("family")) for p, f in zip(_columns("p")[:-1], FAMILIES)])
-    scored = keep(chance.withColumn("best", best).select(
-        "row", "doc_id", "paragraph", "window", "n_words", "notices",
-        F.when((F.col("paragraph") >= 0) & (F.col("best.p") >= limit), F.col("best.family")).alias("family"), F.col("best.p").alias("probability")),
-        "licence-scores")
-    shared = (
-        scored.where(F.col("family").isNotNull()).select("row", "paragraph", "window", "n_words", "family", F.explode("notices").alias("notice"))
-        .groupBy("row", "paragraph", "window", "n_words", "family", "notice").agg(F.count("*").alias("both"))
-        .join(F.broadcast(sizes), ["notice", "family"])
-        .groupBy("row", "paragraph", "window").agg(F.max(F.col("both") / F.greatest(F.least(F.col("pairs"), F.col("n_words") - 1), F.lit(1))).alias("overlap"))
-    )
-    return scored.where("family is not null or paragraph = -1").join(shared, ["row", "paragraph", "window"], "left").select(
-        "row", "doc_id", "paragraph", "window", "family", F.when(F.col("family").isNotNull(), F.col("probability")).alias("probability"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    # the family of the greatest sum is the most probable one, so one probability is computed and not all of them
+    top = F.greatest(*_columns("w"))
+    powers = [F.exp(F.col(w) - top) for w in _columns("w")]
+    best = F.greatest(*[F.struct(F.col(w).alias("w"), F.lit(f).alias("family")) for w, f in zip(_columns("w")[:-1], FAMILIES)])
+    scored = per.withColumn("best", best).withColumn("probability", F.exp(F.col("best.w") - top) / sum(powers[1:], powers[0])).select(
+        "row", "doc_id", "paragraph", "window", "n_words", *tallies, "probability",
+        F.when((F.col("paragraph") >= 0) & (F.col("probability") >= limit), F.col("best.family")).alias("family"))
+    both = [F.shiftright(tallies[r["notice"] // TALLIES], r["notice"] % TALLIES * TALLY_BITS).bitwiseAND(2 ** TALLY_BITS - 1) for r in sizes]
+    overlap = F.greatest(F.lit(0.0), *[
+        F.when(F.col("family") == r["family"], n / F.greatest(F.least(F.lit(r["pairs"]), F.col("n_words") - 1), F.lit(1))) for r, n in zip(sizes, both)])
+    return scored.where("family is not null or paragraph = -1").select(
+        "row", "doc_id", "paragraph", "window", "family", F.when(F.col("family").isNotNull(), F.col("probability")).alias("probability"), overlap.alias("overlap"))
 
 
 def scan_licences(docs: DataFrame, fitted: tuple[DataFrame, float] | None = None) -> DataFrame:
