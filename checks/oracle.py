@@ -186,6 +186,13 @@ WITH inbox AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CAST(user_id AS VAR
    CASE WHEN value > 50 THEN 'medium' ELSE 'low' END AS evidence_strength, 'new' AS review_state,
    'role_' || event_type AS role_hypothesis FROM events)
 """
+STAR_CASE = """
+WITH files AS (SELECT CAST(c_custkey AS VARCHAR) AS dataset_id, c_name AS file FROM customer),
+rows_of AS (SELECT CAST(o_custkey AS VARCHAR) AS dataset_id, o_orderkey AS row_number, o_orderpriority,
+   CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'accepted_warning' ELSE 'quarantined' END AS status FROM orders),
+issues AS (SELECT CAST(o_custkey AS VARCHAR) AS dataset_id, l_orderkey AS row_number, l_linenumber AS ordinal, l_returnflag AS code,
+   l_linestatus AS field, CAST(l_partkey AS VARCHAR) AS message FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+"""
 HOPS = """,
 dom AS (SELECT k, txid, ts, n_out, collab, total_out, arg_max(address, (amt, -pos)) AS address, max(amt) AS amount
         FROM outs JOIN tx USING (k, txid, ts) GROUP BY ALL),
@@ -615,4 +622,58 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS latest_run_id
                    FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
         LEFT JOIN (SELECT user_id, count(*) AS e FROM events GROUP BY user_id) ON user_id = c_custkey""",
+    "dataset_detail": STAR_CASE + """SELECT dataset_id, file, total_rows, accepted_clean, accepted_warning, quarantined, true AS reconciles,
+        i AS issue_counts FROM files JOIN (SELECT dataset_id, count(*) AS total_rows, count(*) FILTER (status = 'accepted') AS accepted_clean,
+          count(*) FILTER (status = 'accepted_warning') AS accepted_warning, count(*) FILTER (status = 'quarantined') AS quarantined
+          FROM rows_of GROUP BY dataset_id) USING (dataset_id)
+        LEFT JOIN (SELECT dataset_id, string_agg(code || '=' || n, ',' ORDER BY code) AS i FROM (
+          SELECT dataset_id, code, count(*) AS n FROM issues GROUP BY ALL) GROUP BY dataset_id) USING (dataset_id)""",
+    "list_issues": STAR_CASE + """SELECT row_number, ordinal, code, message FROM issues WHERE dataset_id = '1' AND code = 'R'
+        ORDER BY row_number, ordinal, code LIMIT 20 OFFSET 2""",
+    "list_source_rows": STAR_CASE + """SELECT dataset_id, row_number, status, '{"o_orderpriority":"' || o_orderpriority || '"}' AS payload
+        FROM rows_of WHERE dataset_id = '1' AND status = 'accepted' ORDER BY row_number LIMIT 10""",
+    "trace_source_row": STAR_CASE + """SELECT r.dataset_id, r.row_number, file, sha256(file) AS sha256, status, i AS issues
+        FROM rows_of r JOIN files USING (dataset_id) LEFT JOIN (
+          SELECT row_number, string_agg(ordinal || '/' || code || '/' || field || '/' || message, ',' ORDER BY ordinal, code, field, message) AS i
+          FROM issues GROUP BY row_number) USING (row_number)
+        WHERE r.dataset_id = '1' AND row_number = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 1)""",
+    "alert_detail": INBOX + """SELECT a.alert_id, a.subject_id, a.pattern, c_acctbal AS anomaly_score, body AS notes, states, CAST(e.event_id AS VARCHAR) AS txid
+        FROM (SELECT * FROM inbox WHERE alert_id = (SELECT CAST(min(event_id) AS VARCHAR) FROM events WHERE user_id = 1)) a
+        LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = a.subject_id
+        CROSS JOIN (SELECT string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_type, CAST(event_id AS VARCHAR)) AS body,
+               string_agg(event_type, ',' ORDER BY ts, event_type, CAST(event_id AS VARCHAR)) AS states FROM events WHERE user_id = 1)
+        JOIN events e ON e.event_type = a.pattern AND (e.event_id % 3 = 0 OR CAST(e.user_id AS VARCHAR) = a.subject_id)""",
+    "case_audit": """SELECT event_id, CAST(user_id AS VARCHAR) AS case_id, event_type FROM events WHERE user_id = 1
+        ORDER BY event_id DESC LIMIT 200""",
+    "coinjoin_evidence": _q(f"""SELECT 'coinjoin_like' AS detector, tx.txid AS subject_id, tx.txid, k + 1 AS row_number, CAST(n_in AS INTEGER) AS input_count,
+        address AS first_output, amt AS first_output_sats FROM tx JOIN (SELECT k, address, amt FROM outs WHERE pos = 0) USING (k) WHERE {LOOSE}"""),
+    "peel_evidence": _q("""SELECT 'peel:' || chain AS context_id, h.txid, h.k + 1 AS row_number, CAST(hop AS BIGINT) AS hop, address,
+        amount AS amount_sats, CAST(tx.n_out - 1 AS INTEGER) AS side_outputs FROM hopped h JOIN tx USING (k)""", HOPS, CHAINS, recursive=True),
+    "overlay_edges": _q("""SELECT source, target, key, kind, CAST(NULL AS BIGINT) AS support FROM edges UNION ALL
+        SELECT DISTINCT 'tx:' || txid, 'tx:' || nx, 'continuity:' || txid || ':' || nx, 'inferred_continuity', CAST(2 AS BIGINT) FROM (
+          SELECT txid, lead(txid) OVER (PARTITION BY chain ORDER BY hop) AS nx FROM hopped) WHERE nx IS NOT NULL""",
+        HOPS, CHAINS, EDGES, recursive=True),
+    "decorated_view": _q("""SELECT view.id, CAST(hop AS INTEGER) AS hop, CAST(rank AS INTEGER) AS rank,
+          CASE WHEN view.id LIKE 'addr:%' THEN 'address' WHEN view.id LIKE 'tx:%' THEN 'transaction' ELSE 'endpoint' END AS kind,
+          CASE WHEN view.id LIKE 'tx:%' THEN view.id[4:15] ELSE split_part(view.id, ':', 2) END AS label,
+          CASE WHEN tx_count > 5 THEN CAST(tx_count AS DOUBLE) END AS anomaly_percentile,
+          CASE WHEN tx_count > 5 THEN tx_count % 2 = 0 END AS scored, pattern, priority, band
+        FROM view LEFT JOIN act ON view.id = 'addr:' || address LEFT JOIN (
+          SELECT 'addr:A' || user_id AS id, arg_max(event_type, (value, CAST(event_id AS VARCHAR))) AS pattern, max(value) AS priority,
+            CASE WHEN max(value) >= 75 THEN 'high' WHEN max(value) >= 40 THEN 'medium' ELSE 'low' END AS band
+          FROM events GROUP BY user_id) al ON al.id = view.id""", EDGES),
+    "view_edges": _q("""SELECT e.source || '|' || e.key || '|' || e.target AS id, e.kind, false AS inferred FROM edges e
+        JOIN view a ON a.id = e.source JOIN view b ON b.id = e.target""", EDGES),
+    "address_history": _q("""SELECT adt.txid, adt.k + 1 AS row_number, CASE WHEN spends AND receives THEN 'both' WHEN spends THEN 'out' ELSE 'in' END AS direction,
+        CAST(n_in AS INTEGER) AS input_count, CAST(n_out AS INTEGER) AS output_count, CASE WHEN received > 0 THEN received ELSE spent END AS amount_sats
+        FROM adt JOIN tx USING (k) WHERE address = 'A0'"""),
+    "address_totals": _q("""SELECT address, tx_count AS transaction_count, received_sats, spent_sats, incoming_tx_count AS incoming_transactions,
+        outgoing_tx_count AS outgoing_transactions, first_us, last_us FROM act WHERE address = 'A0'"""),
+    "amount_discrepancies": _q("""SELECT txid, 1 - (k + 1) % 3 AS residual_sats, total_in - total_out + (k + 1) % 3 - 1 AS fee_sats
+        FROM tx WHERE (k + 1) % 3 <> 1"""),
+    "instants": """SELECT event_id, CASE event_id % 8 WHEN 3 THEN s - 9000000000 WHEN 4 THEN epoch_us(date_trunc('minute', ts))
+          WHEN 5 THEN epoch_us(date_trunc('millisecond', ts)) WHEN 6 THEN NULL WHEN 7 THEN s + 6300000000 ELSE s END AS instant_us
+        FROM (SELECT event_id, ts, epoch_us(date_trunc('second', ts)) AS s FROM events)""",
+    "canonical_ips": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 300 < 256 THEN '10.' || event_id % 300 || '.0.1' END
+          WHEN 1 THEN '2001:db8::' || printf('%x', event_id % 65536) END AS ip FROM events""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.files import new_folder, part_of, write_landing, write_order_files
 from checks.text_rows import star_text_rows
+from tallyscope.functions import text
 from tallyscope.functions.prefix import median_gap, peak_overlap
 from tallyscope.functions.staging import stage
 from tallyscope.operators import (
@@ -15,6 +16,7 @@ from tallyscope.operators import (
     cocontrol,
     collection,
     context,
+    evidence,
     features,
     graph,
     importing,
@@ -752,10 +754,10 @@ def alert_facets(spark, folder):
 @query
 def list_alerts(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
-    evidence = events.select(
+    records = events.select(
         F.col("event_type").alias("detector"), F.col("user_id").cast("string").alias("subject_id"),
         F.lit("").alias("context_id"), F.lit("observation").alias("kind"))
-    page = case_queries.list_alerts(_inbox(spark, folder), evidence, limit=50, offset=10, pattern="click", subject="1")
+    page = case_queries.list_alerts(_inbox(spark, folder), records, limit=50, offset=10, pattern="click", subject="1")
     return page.select("alert_id", "subject_id", "priority", "priority_band", "evidence_count")
 
 
@@ -783,3 +785,179 @@ def case_overview(spark, folder):
     found = spark.read.parquet(f"{folder}/events.parquet").select(F.col("user_id").alias("case_id"))
     return case_queries.case_overview(cases, datasets, runs, found).select(
         "case_id", "dataset_count", "run_count", "alert_count", "latest_run_id")
+
+
+def _star_case(spark, folder):
+    """(datasets, source_rows, issues): customers as files, their orders as rows, the lines of these as issues."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    rows = orders.select(
+        F.col("o_custkey").cast("string").alias("dataset_id"), F.col("o_orderkey").alias("row_number"),
+        F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "accepted_warning").otherwise("quarantined").alias("status"),
+        F.to_json(F.struct("o_orderpriority")).alias("payload"))
+    n_of = lambda status: F.count(F.when(F.col("status") == status, 1))
+    totals = rows.groupBy("dataset_id").agg(
+        F.count("*").alias("total_rows"), n_of("accepted").alias("accepted_clean"), n_of("accepted_warning").alias("accepted_warning"),
+        n_of("quarantined").alias("quarantined"))
+    files = spark.read.parquet(f"{folder}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("dataset_id"), F.col("c_name").alias("file"), F.sha2("c_name", 256).alias("sha256"))
+    issues = spark.read.parquet(f"{folder}/lineitem.parquet").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").cast("string").alias("dataset_id"), F.col("l_orderkey").alias("row_number"), F.col("l_linenumber").alias("ordinal"),
+        F.col("l_returnflag").alias("code"), F.lit("warning").alias("severity"), F.col("l_linestatus").alias("field"),
+        F.col("l_partkey").cast("string").alias("message"))
+    return files.join(totals, "dataset_id"), rows, issues
+
+
+@query
+def dataset_detail(spark, folder):
+    datasets, _, issues = _star_case(spark, folder)
+    listed = F.transform(F.array_sort(F.map_entries("issue_counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return case_queries.dataset_detail(datasets, issues).select(
+        "dataset_id", "file", "total_rows", "accepted_clean", "accepted_warning", "quarantined", "reconciles",
+        F.array_join(listed, ",").alias("issue_counts"))
+
+
+@query
+def list_issues(spark, folder):
+    _, _, issues = _star_case(spark, folder)
+    return case_queries.list_issues(issues, "1", code="R", limit=20, offset=2).select("row_number", "ordinal", "code", "message")
+
+
+@query
+def list_source_rows(spark, folder):
+    _, rows, _ = _star_case(spark, folder)
+    return case_queries.list_source_rows(rows, "1", status="accepted", limit=10)
+
+
+@query
+def trace_source_row(spark, folder):
+    datasets, rows, issues = _star_case(spark, folder)
+    return case_queries.trace_source_row(rows, datasets, issues, "1", _first_order(spark, folder)).select(
+        "dataset_id", "row_number", "file", "sha256", "status",
+        F.array_join(F.transform("issues", lambda i: F.concat_ws("/", i["ordinal"].cast("string"), i["code"], i["field"], i["message"])), ",").alias("issues"))
+
+
+def _first_order(spark, folder):
+    """The smallest order of customer 1, whose row is traced."""
+    orders = spark.read.parquet(f"{folder}/orders.parquet").where("o_custkey = 1")
+    return orders.agg(F.min("o_orderkey").alias("k")).first()["k"]
+
+
+@query
+def alert_detail(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    inbox = _inbox(spark, folder)
+    of_user = events.where("user_id = 1").agg(F.min("event_id").cast("string").alias("id")).first()["id"] or ""
+    notes = events.select(F.col("user_id").cast("string").alias("alert_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("author"),
+                          F.col("event_id").cast("string").alias("body")).withColumn("alert_id", F.when(F.col("alert_id") == "1", of_user))
+    reviews = notes.select("alert_id", F.col("created_at").alias("at"), F.col("author").alias("actor"), F.lit("new").alias("from_state"),
+                           F.col("author").alias("to_state"), F.col("body").alias("reason"))
+    records = events.select(
+        F.col("event_type").alias("detector"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).alias("subject_id"),
+        F.lit("").alias("context_id"), F.lit("observation").alias("kind"), F.col("event_id").cast("string").alias("txid"),
+        F.col("event_id").alias("row_number"), F.col("props").alias("detail"))
+    scores = spark.read.parquet(f"{folder}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("address"), F.col("c_acctbal").alias("anomaly_score"), F.lit(50.0).alias("anomaly_percentile"),
+        F.lit(None).cast("string").alias("unscored_reason"))
+    detail, support = case_queries.alert_detail(inbox, records, scores, notes, reviews, of_user)
+    return detail.select(
+        "alert_id", "subject_id", "pattern", F.col("address_score.anomaly_score").alias("anomaly_score"),
+        F.array_join(F.transform("notes", lambda n: n["body"]), ",").alias("notes"),
+        F.array_join(F.transform("review_history", lambda r: r["to_state"]), ",").alias("states")).join(
+        support.select("alert_id", "txid"), "alert_id")
+
+
+@query
+def case_audit(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("case_id", F.col("user_id").cast("string"))
+    return case_queries.case_audit(events, "1").select("event_id", "case_id", "event_type")
+
+
+# --- evidence, histories, inferred edges -----------------------------------------------
+@query
+def coinjoin_evidence(spark, folder):
+    ledger = read_star_ledger(spark, folder)
+    rows = evidence.with_row_numbers(evidence.coinjoin_evidence(structure.mark_collaborative(ledger, LOOSE)), ledger)
+    value = lambda path: F.get_json_object("detail", path)
+    return rows.select(
+        "detector", "subject_id", "txid", "row_number", value("$.input_count").cast("int").alias("input_count"),
+        value("$.output_addresses[0]").alias("first_output"), value("$.output_amounts_sats[0]").cast("bigint").alias("first_output_sats"))
+
+
+@query
+def peel_evidence(spark, folder):
+    rows = evidence.with_row_numbers(evidence.peel_evidence(_hops(spark, folder)), read_star_ledger(spark, folder))
+    value = lambda path: F.get_json_object("detail", path)
+    return rows.select(
+        "context_id", "txid", "row_number", value("$.hop").cast("bigint").alias("hop"),
+        value("$.dominant_output_address").alias("address"), value("$.dominant_output_sats").cast("bigint").alias("amount_sats"),
+        F.size(F.from_json(value("$.side_outputs"), "array<string>")).alias("side_outputs"))
+
+
+@query
+def overlay_edges(spark, folder):
+    supplied = graph.graph_edges(read_star_ledger(spark, folder), read_star_observations(spark, folder))
+    inferred = peeling.continuity_edges(stage(_hops(spark, folder), "peel-hops"), "check")
+    return graph.overlay_inferred_edges(supplied.withColumns({"rule_version": F.lit(None).cast("string"), "support": F.lit(None).cast("bigint")}),
+                                        inferred.drop("strength")).select("source", "target", "key", "kind", "support")
+
+
+@query
+def decorated_view(spark, folder):
+    view, ledger = _view(spark, folder), read_star_ledger(spark, folder)
+    totals = stage(activity.address_activity(activity.address_transactions(ledger)), "totals")
+    shown, _ = graph.graph_payload(view, graph.graph_nodes(ledger, totals, read_star_observations(spark, folder)))
+    scores = totals.where("tx_count > 5").select(
+        "address", F.col("tx_count").cast("double").alias("anomaly_percentile"), F.when(F.col("tx_count") % 2 == 0, 0.5).alias("anomaly_score"))
+    found = _inbox(spark, folder).withColumn("subject_id", F.concat(F.lit("A"), "subject_id"))
+    return graph.decorate_graph(shown, scores, found).select(
+        "id", "hop", "rank", "kind", "label", F.col("score.anomaly_percentile").alias("anomaly_percentile"), F.col("score.scored").alias("scored"),
+        F.col("alert.pattern").alias("pattern"), F.col("alert.priority").alias("priority"), F.col("alert.band").alias("band"))
+
+
+@query
+def view_edges(spark, folder):
+    view = _view(spark, folder)
+    return graph.graph_payload(view, view.nodes.select("id"))[1].select("id", "kind", "inferred")
+
+
+@query
+def address_history(spark, folder):
+    ledger = read_star_ledger(spark, folder)
+    return case_queries.address_transactions(activity.address_transactions(ledger), ledger, "A0").select(
+        "txid", "row_number", "direction", "input_count", "output_count", "amount_sats")
+
+
+@query
+def address_totals(spark, folder):
+    totals = activity.address_activity(activity.address_transactions(read_star_ledger(spark, folder)))
+    return case_queries.address_summary(totals, "A0").select(
+        "address", "transaction_count", "received_sats", "spent_sats", "incoming_transactions", "outgoing_transactions",
+        F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"))
+
+
+@query
+def amount_discrepancies(spark, folder):
+    stated = F.col("fee_sats") + F.col("row_number") % 3 - 1
+    ledger = read_star_ledger(spark, folder).withColumn("fee_sats", stated).withColumn(
+        "residual_sats", F.col("total_in_sats") - F.col("total_out_sats") - F.col("fee_sats"))
+    return activity.amount_discrepancies(ledger)
+
+
+@query
+def instants(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    spelled = lambda pattern: F.date_format("ts", pattern)
+    ways = [spelled("yyyy-MM-dd HH:mm:ss"), spelled("yyyy-MM-dd'T'HH:mm:ss'Z'"), spelled("yyyyMMdd'T'HHmmss"),
+            F.concat(spelled("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:30")), spelled("yyyy-MM-dd HH:mm"), spelled("yyyy-MM-dd HH:mm:ss,SSS"),
+            spelled("yyyy/MM/dd HH:mm:ss"), F.concat(spelled("yyyy-MM-dd HH:mm:ss"), F.lit("-0145"))]
+    way = (F.col("event_id") % len(ways)).cast("int")
+    return events.select("event_id", F.unix_micros(text.parse_instant(F.get(F.array(*ways), way))).alias("instant_us"))
+
+
+@query
+def canonical_ips(spark, folder):
+    n = F.col("event_id")
+    ways = [F.concat(F.lit("10."), (n % 300).cast("string"), F.lit(".0.1")), F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.hex(n % 65536)),
+            F.concat(F.lit("010.0.0."), (n % 200).cast("string")), F.concat(F.lit("host:"), n.cast("string"))]
+    return spark.read.parquet(f"{folder}/events.parquet").select(
+        "event_id", text.canonical_ip(F.get(F.array(*ways), (n % len(ways)).cast("int"))).alias("ip"))
