@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id."""
+    """Of each class of near copies, the document with the smallest doc_id.
+
+    Candidates are op5's SimHash classes and MinHash bands; a link is a similarity of five-word shingles of 0.8 or more.
+    """
     return shingle_near.one_per_class(docs)
 
 

@@ -1,10 +1,11 @@
-"""Near copies by the Jaccard similarity of five-word shingles, with candidates from MinHash bands.
+"""Near copies: the SimHash classes of op5 and MinHash bands, checked by the Jaccard similarity of five-word shingles.
 
-Two texts are linked if their sets of shingles have a similarity of at least ``SIMILAR``. Sets that
-share all ``ROWS`` minima of one of ``BANDS`` bands meet; every pair that meets is compared exactly,
-so no link is wrong, and a pair at similarity s meets with probability 1 - (1 - s**ROWS)**BANDS:
-0.9999 at 0.80. A SimHash distance does not do this: at 0.8 about ten of 64 bits
-differ, and a radius that covers those has keys too short to tell fingerprints apart.
+Two texts are linked if their sets of shingles have a similarity of at least ``SIMILAR``. Texts of one
+class of :func:`simhash_near.near_classes` meet, and so do sets that share all ``ROWS`` minima of one of
+``BANDS`` bands; every pair that meets is compared exactly, so no link is wrong, and a pair at similarity
+s meets in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.80. The fingerprints alone do not
+do this: at 0.8 about ten of 64 bits differ, and a radius that covers those has keys too short to tell
+fingerprints apart.
 
 Equal sets are one set. Groups of bands with the same members are compared once, only what meets
 gets its text back, large groups are cut into pairs of blocks, and tasks emit classes, never pairs.
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.llm import simhash_near
 from tallyscope.llm.common import keep, short_batches, text_of
 from tallyscope.llm.simhash_near import _LINKS, _classes
 from tallyscope.operators.components import connected_components
@@ -113,12 +115,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def similar_classes(sets: DataFrame) -> DataFrame:
+def similar_classes(sets: DataFrame, texts: DataFrame, near: DataFrame) -> DataFrame:
     """(digest, root) for every set linked to another one, by class.
 
-    ``sets`` has distinct ``digest`` with ``keys`` and ``text``, and is read several times.
+    ``sets`` has distinct ``digest`` with ``keys`` and the ``row`` in ``texts`` (row, text) it stands for; ``near``
+    has distinct (digest, key) of further groups whose members meet. They are read several times, texts once.
     """
-    keys = sets.select("digest", F.explode("keys").alias("key"))
+    keys = sets.select("digest", F.explode("keys").alias("key")).unionByName(near)
     groups = (
         keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("members")).where("n > 1")
         .groupBy("members", "n").agg(F.min("key").alias("key"))
@@ -131,7 +134,7 @@ def similar_classes(sets: DataFrame) -> DataFrame:
                 F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         .select("digest", "key", F.expr("least(own, other) * 10000000L + greatest(own, other)").alias("cell"))
     )
-    rows = cells.join(sets.select("digest", "text"), "digest").select("key", "cell", "digest", "text")
+    rows = cells.join(sets.select("digest", "row"), "digest").join(texts, "row").select("key", "cell", "digest", "text")
     links = rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare, _LINKS)
     return connected_components(keep(links.distinct(), "near-links"), "u", "v").select(F.col("node").alias("digest"), "root")
 
@@ -145,12 +148,17 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     short_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("id"), text_of(docs).alias("text"),
                        F.monotonically_increasing_id().alias("row"))
-    rows = keep(rows.withColumn("set", _sets("text")).select("doc", "id", "set.digest", "set.keys", "row"), "shingled")
+    rows = simhash_near.with_fingerprint(rows).withColumn("set", _sets("text"))
+    rows = keep(rows.select("doc", "id", "fp", "set.digest", "set.keys", "row"), "shingled")
+    found = keep(simhash_near.near_classes(rows.select("fp").distinct()), "near-fingerprints")
+    of_class = F.xxhash64(F.lit("fingerprints"), F.coalesce("root", "fp"))
+    linked = keep(rows.select("fp", "digest").distinct().join(found, "fp", "left").select("digest", of_class.alias("key")).distinct(),
+                  "near-sets")
     first = keep(
         rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")), "distinct-sets")
-    one = rows.join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
+    one = rows.select("row", "digest", "keys").join(first.select(F.col("first.row").alias("row")), "row", "left_semi")
     text = F.coalesce(F.col("doc")["text"].cast("string"), F.lit(""))
-    near = keep(similar_classes(one.select("digest", "keys", text.alias("text"))), "near-classes")
+    near = keep(similar_classes(one, rows.select("row", text.alias("text")), linked), "near-classes")
     stay = (
         first.join(near, "digest", "left").groupBy(F.coalesce("root", "digest").alias("class"))
         .agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

@@ -170,6 +170,20 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch, block):
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 
+def test_near_copies_meet_in_simhash_classes(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    near, other = [*words[:399], "changed"], [f"o{i}" for i in range(400)]
+    sets = spark.createDataFrame([(i, [], i) for i in range(3)], "digest long, keys array<long>, row long")
+    texts = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, near, other))], "row long, text string")
+    together = spark.createDataFrame([(0, 7), (1, 7), (2, 7)], "digest long, key long")
+    assert sorted(map(tuple, shingle_near.similar_classes(sets, texts, together).collect())) == [(0, 0), (1, 0)]
+    seen, classes = [], simhash_near.near_classes
+    monkeypatch.setattr(simhash_near, "near_classes", lambda fps: seen.append(fps.count()) or classes(fps))
+    df = spark.createDataFrame(_rows([" ".join(t) for t in (words, near, other, other)]), DOCS)
+    assert corpus_pipeline.drop_near_copies(spark, df, "").count() == 2
+    assert len(seen) == 1 and seen[0] in (2, 3)
+
+
 def test_stored_texts(spark, texts):
     rows = _rows(texts + ["ÿ" * 300_000])
     for r in jpeg_media.stored_texts(spark.createDataFrame(rows, DOCS)).collect():
