@@ -23,6 +23,13 @@ def test_amounts_are_exact(spark):
     assert {r.v: r.u for r in got.collect()} == {v: _exact(v) for v in values}
 
 
+def test_amounts_of_eight_decimals(spark):
+    values = ["0.00000000", "0000000001.00000001", "9999999999.99999999", "12345678901.00000001", "92233720368.54775807", "92233720368.54775808",
+              "-1.00000000", "1_0.00000000", "1.000000010"]
+    got = spark.createDataFrame([(v,) for v in [*values, "1.00000000\n", None]], "v string").select("v", to_minor_units(F.col("v")).alias("u"))
+    assert {r.v: r.u for r in got.collect()} == {v: _exact(v) for v in values} | {"92233720368.54775808": None, "1.00000000\n": 100_000_000, None: None}
+
+
 def test_units_print_plainly(spark):
     rows = spark.createDataFrame([(0,), (1,), (123456789012,), (-5,)], "u bigint")
     assert [r[0] for r in rows.select(from_minor_units(F.col("u"))).collect()] == [
