@@ -1,6 +1,8 @@
 """Data beyond the sizes at which earlier versions cut off."""
+import datetime
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,39 @@ def test_blank_labels_count_as_negative(spark):
     assert (cells.tp, cells.fp, cells.fn, cells.tn) == (0, 1, 1, 1)
     ranked = {r.variant: r.pr_auc for r in evaluate.average_precision(evaluate.ranking_variants(rows)).collect()}
     assert ranked["model_only"] == statistics.mean([1.0])
+
+
+def test_large_ledgers_land_in_more_files(spark, tmp_path, monkeypatch):
+    from checks import files
+    from tallyscope.sources.formats import read_rows
+
+    orders = [(k, k % 7, datetime.date(2024, 1, 1)) for k in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(k, n, n + 10, n + 20, 2.0 + n) for k in range(60) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    want = Counter(r["raw"]["txid"] for r in files.star_text_rows(spark, str(tmp_path)).collect())
+    for rows, count in ((10, 7), (1000, files.FILES)):
+        monkeypatch.setattr(files, "FILE_ROWS", rows)
+        for kind in ("csv", "json", "xml"):
+            landed = read_rows(spark, files.write_landing(spark, str(tmp_path), kind)).collect()
+            assert Counter(r["raw"]["txid"] for r in landed) == want
+            assert len({r["file"] for r in landed}) == count
+    few = files.write_landing(spark, str(tmp_path), "csv", 2)
+    assert read_rows(spark, few).select("file").distinct().count() == 2
+
+
+def test_indexed_rows_are_made_once(spark):
+    from tallyscope.functions.prefix import dense_index
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        made.add(1)
+        return n
+
+    rows = spark.range(0, 3000, 1, 4).withColumn("n", F.lit(1))
+    tagged = F.udf(count, "long")(F.col("id")).alias("tag")
+    found = dense_index(rows, [F.desc("id")], "i", "made", [tagged]).collect()
+    assert {r["tag"]: r["i"] for r in found} == {i: 2999 - i for i in range(3000)}
+    assert made.value == 3000
