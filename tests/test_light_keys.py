@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.functions import entries, prefix
-from tallyscope.operators import activity
+from tallyscope.operators import activity, peeling
+from tallyscope.settings import Peeling
 
 
 @pytest.fixture
@@ -70,3 +71,26 @@ def test_equal_outputs_are_decided_before_entries_become_rows(spark):
         (None, "t2"): (0, 7, False, True, False), ("b", "t2"): (5, 0, True, False, False), ("d", "t2"): (2, 0, True, False, False)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert all("lambda" not in line for line in plan.split("Generate")[0].splitlines() if line.lstrip(" :+-").startswith("Project"))
+
+
+def test_steps_without_neighbours_stay_out_of_the_rounds(spark, monkeypatch):
+    hour = 3_600_000_000
+    move = lambda name, at, payer, heir, other: (name, at * hour, 100, 100, 0, 1, 2, False, [(0, payer, 100)], [(0, heir, 90), (1, other, 10)])
+    chain = [move(f"t{i}", i, f"a{i}", f"a{i + 1}", f"x{i}") for i in range(6)]
+    alone = [move(f"z{i}", i, f"c{i}", f"d{i}", f"e{i}") for i in range(30)]
+    entry = "array<struct<position:int,address:string,amount_sats:bigint>>"
+    marked = spark.createDataFrame(
+        chain + alone, "txid string, ts_us long, total_in_sats long, total_out_sats long, residual_sats long, input_count int, output_count int,"
+        f" collaborative boolean, inputs {entry}, outputs {entry}")
+    rows, real = {}, peeling.stage
+
+    def counted(df, label):
+        table = real(df, label)
+        rows.setdefault(label, table.count())
+        return table
+
+    monkeypatch.setattr(peeling, "stage", counted)
+    config = Peeling(min_dominant_share=0.5, max_gap_hours=24.0, min_chain_length=3)
+    found = peeling.peel_chains(marked, activity.address_transactions(marked), config)
+    assert sorted((r.chain, r.hop, r.txid) for r in found.collect()) == [("t0", i + 1, f"t{i}") for i in range(6)]
+    assert rows["peel-steps"] == 36 and rows["peel-links"] == 6
