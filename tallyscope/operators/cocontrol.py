@@ -14,9 +14,10 @@ _CHUNK = 64
 
 
 def _with_inputs(marked: DataFrame) -> DataFrame:
-    return marked.select(
+    """Rows of several input addresses; one-input rows leave before any array is made."""
+    return marked.where(F.size("inputs") >= 2).select(
         "txid", "ts_us", "input_count", "collaborative", (F.col("residual_sats") != 0).alias("discrepancy"),
-        F.array_sort(entries.distinct_addresses("inputs")).alias("members"),
+        F.sort_array(entries.distinct_addresses("inputs")).alias("members"),
     ).where(F.size("members") >= 2)
 
 

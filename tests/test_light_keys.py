@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.functions import entries, prefix
-from tallyscope.operators import activity, peeling
-from tallyscope.settings import Peeling
+from tallyscope.operators import activity, features, peeling, structure
+from tallyscope.settings import DAY_US, Peeling
 
 
 @pytest.fixture
@@ -94,3 +94,30 @@ def test_steps_without_neighbours_stay_out_of_the_rounds(spark, monkeypatch):
     found = peeling.peel_chains(marked, activity.address_transactions(marked), config)
     assert sorted((r.chain, r.hop, r.txid) for r in found.collect()) == [("t0", i + 1, f"t{i}") for i in range(6)]
     assert rows["peel-steps"] == 36 and rows["peel-links"] == 6
+
+
+def _address_tx(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["a", "a", "a", "b", "c", None]), draw.choice([None, *range(0, 9 * DAY_US, DAY_US // 2)]), draw.randrange(90))
+            for _ in range(200)] + [("once", 5, 1), ("undated", None, 1), ("undated twice", None, 1), ("undated twice", None, 2)]
+    return spark.createDataFrame(rows, "address string, ts_us long, received_sats long").selectExpr(
+        "*", "0L AS spent_sats", "true AS receives", "false AS spends", "1 AS input_count", "2 AS output_count", "false AS equal_outputs")
+
+
+def test_profiles_shuffle_transactions_once_and_count_heavy_addresses_once(spark, written):
+    seen = _address_tx(spark)
+    marked = structure.mark_collaborative(spark.createDataFrame(
+        [("t1", 1, 0, 2, 2, [(0, "a", 5), (1, "b", 5)], [(0, "c", 4), (1, "a", 6)]), ("t2", 2, 0, 2, 1, [(0, "b", 5), (1, "a", 5)], [(0, "c", 10)])],
+        f"txid string, ts_us long, residual_sats long, input_count int, output_count int, inputs {entries.ENTRY_TYPE}, outputs {entries.ENTRY_TYPE}"))
+    found = features.address_profiles(marked, seen)
+    assert set(written) == {"profile-heavy"} and not any(written.values())
+    assert _shuffles(features._own_profiles(seen)) == 1
+    rows = {r.address: r.asDict() for r in found.collect()}
+    assert {r.address: r.asDict() for r in features.address_profiles(marked, seen, heavy_rows=3).collect()} == rows
+    gaps = {r.address: r.median_gap_us for r in features.inter_event_gaps(seen).collect() if r.address}
+    peaks = {r.address: r.max_tx_in_24h for r in features.busiest_day(seen).collect() if r.address}
+    assert {a: r["median_gap_us"] for a, r in rows.items() if r["median_gap_us"] is not None} == gaps
+    assert {a: r["max_tx_in_24h"] for a, r in rows.items() if a} == peaks
+    assert (rows["a"]["distinct_receivers"], rows["a"]["repeated_co_input_partners"]) == (1, 1)
+    assert rows[None]["tx_count"] > 1 and rows[None]["max_tx_in_24h"] is None
+    assert (rows["undated"]["max_tx_in_24h"], rows["undated"]["median_gap_us"], rows["undated twice"]["median_gap_us"]) == (0, None, 0)
