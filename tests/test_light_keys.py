@@ -4,9 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from tallyscope.functions import entries, prefix
-from tallyscope.operators import activity, features, peeling, structure
-from tallyscope.settings import DAY_US, Peeling
+from tallyscope.operators import activity, context, features, peeling, structure
+from tallyscope.plans import run as runs
+from tallyscope.settings import DAY_US, Peeling, SharedEndpoint
 
 
 @pytest.fixture
@@ -121,3 +123,31 @@ def test_profiles_shuffle_transactions_once_and_count_heavy_addresses_once(spark
     assert (rows["a"]["distinct_receivers"], rows["a"]["repeated_co_input_partners"]) == (1, 1)
     assert rows[None]["tx_count"] > 1 and rows[None]["max_tx_in_24h"] is None
     assert (rows["undated"]["max_tx_in_24h"], rows["undated"]["median_gap_us"], rows["undated twice"]["median_gap_us"]) == (0, None, 0)
+
+
+def test_endpoint_sightings_meet_their_transaction_once(spark):
+    entry = entries.ENTRY_TYPE
+    ledger = spark.createDataFrame(
+        [("t1", 1, [(0, "a", 1)], [(0, "b", 1), (1, None, 1)]), ("t2", 2, [(0, "a", 1)], [(0, "b", 1)]), ("t3", 9, [], []), ("t4", 5, None, [(0, "a", 1)])],
+        f"txid string, ts_us long, inputs {entry}, outputs {entry}")
+    endpoints = spark.createDataFrame([("i", t) for t in ("t1", "t2", "t3", "t4")] + [("j", "t3"), ("j", "gone")], "src_ip string, txid string")
+    found = context.shared_ip(endpoints, ledger, SharedEndpoint(min_observations=2, min_recurring_addresses=2))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    row, = found.collect()
+    assert (row.subject_id, row.observation_count, row.start_us, row.end_us) == ("a", 4, 1, 9)
+    assert (row.distinct_addresses_observed, row.addresses_seen_at_endpoint) == (2, 3)
+
+
+def test_a_scored_run_makes_its_case_tables_once(spark, monkeypatch):
+    labels, given = [], {}
+    monkeypatch.setattr(runs, "stage", lambda df, label: labels.append(label) or df)
+    monkeypatch.setattr(queries, "run_analysis", lambda ledger, *rest: given.update(made=rest[-1], ledger=ledger))
+    monkeypatch.setattr(queries, "read_star_ledger", lambda *_: spark.createDataFrame(
+        [("t1", 1, 0, 1, 1, [(0, "a", 5)], [(0, "b", 5)])],
+        f"txid string, ts_us long, residual_sats long, input_count int, output_count int, inputs {entries.ENTRY_TYPE}, outputs {entries.ENTRY_TYPE}"))
+    monkeypatch.setattr(queries, "read_star_observations", lambda *_: None)
+    monkeypatch.setattr(queries.model, "freeze_scores", lambda scores: {r.address: r.anomaly_score for r in scores.collect()})
+    queries._scored_run(spark, "")
+    assert labels == ["ledger", "address-tx"] and given["ledger"] is given["made"][0]
+    assert {r.address for r in given["made"][1].collect()} == {"a", "b"}
