@@ -8,7 +8,8 @@ spread a document's label over all its passages, later ones put it on the highes
 hold all passages of clean documents down. A misspelt word shares most n-grams with the known one.
 
 The fit uses a bounded sample of labelled documents (``SAMPLE`` per label and ``SAMPLE_BYTES`` of
-whole texts); scoring covers every whole text and needs one number per n-gram bucket.
+whole texts) and runs in a task, so the driver meets neither texts nor embeddings; scoring covers
+every whole text and needs one number per n-gram bucket.
 """
 from __future__ import annotations
 
@@ -17,8 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyscope.llm.common import fold, short_batches, text_of
@@ -34,6 +37,8 @@ PASSAGE = 5
 THRESHOLD = 0.7
 #: Words a task remembers (about the first it meets); bounds memory only.
 REMEMBERED = 200_000
+#: Distinct words of a mini-batch whose n-grams are gathered at once; bounds memory only.
+WORDS = 20_000
 _EDGES = ".,;:!?\"'()[]{}<>*_#|-…«»„“”"
 
 
@@ -129,9 +134,17 @@ def _passages(texts: list[str], ids: dict[str, int]) -> list[tuple[np.ndarray, n
     return out
 
 
-def _summed(values: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``values`` added up by ``index``."""
-    return np.stack([np.bincount(index, column, size) for column in values.T], axis=1)
+def _summed(values: np.ndarray, times: np.ndarray, index: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``values``, each repeated ``times``, added up by ``index``; one column at a time."""
+    return np.stack([np.bincount(index, np.repeat(column, times), size) for column in values.T], axis=1)
+
+
+def _word_sums(vectors: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of each word's n-gram vectors, for ``WORDS`` words at a time."""
+    ends = np.r_[starts[1:], len(gram)]
+    return np.concatenate([
+        np.add.reduceat(vectors[gram[starts[at]:ends[min(at + WORDS, len(starts)) - 1]]], starts[at:at + WORDS] - starts[at], axis=0)
+        for at in range(0, len(starts), WORDS)])
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 6, steps: int = 400, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
@@ -200,13 +213,13 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
             touched = np.flatnonzero(np.bincount(gram, minlength=BUCKETS))
             number[touched] = np.arange(len(touched))
             where = number[gram]
-            word_vec = np.add.reduceat(vectors[gram], starts, axis=0) / count[:, None]
+            word_vec = _word_sums(vectors, gram, starts) / count[:, None]
             sizes = [int(docs[i][1][-1]) + 1 for i in chosen]
             first = np.cumsum(sizes) - sizes
             passage = np.concatenate([docs[i][1] + f for i, f in zip(chosen, first)])
             cut = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
             length = np.diff(np.r_[cut, len(passage)])
-            mean = np.add.reduceat(word_vec[word], cut, axis=0) / length[:, None]
+            mean = np.stack([np.add.reduceat(column[word], cut) for column in word_vec.T], axis=1) / length[:, None]
             logits = mean @ softmax + bias
             chance = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -30, 30)))
             doc = np.repeat(np.arange(len(chosen)), sizes)
@@ -220,8 +233,8 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
             slope = (weight * (chance - label[doc]))[:, None] * np.array([[-1.0, 1.0]])
             to_softmax, to_bias = mean.T @ slope, slope.sum(0)
             to_passage = slope @ softmax.T / length[:, None]
-            to_word = _summed(np.repeat(to_passage, length, axis=0), word, len(used))
-            total = _summed(np.repeat(to_word / count[:, None], count, axis=0), where, len(touched))
+            to_word = _summed(to_passage, length, word, len(used))
+            total = _summed(to_word / count[:, None], count, where, len(touched))
             grown[touched] += (total ** 2).mean(1)
             vectors[touched] -= rate * total / np.sqrt(grown[touched])[:, None]
             grown_s += to_softmax ** 2
@@ -231,8 +244,8 @@ def _trained(texts: list[str], target: np.ndarray, rounds: int, batch: int, rate
     return Model(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), 0.0)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of the fit: rows outside the held-out part, by order of a hash.
+def training_rows(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1) -> DataFrame:
+    """(doc_id, text, toxic) of the fit, whole texts: rows outside the held-out part, by order of a hash.
 
     Takes at most ``SAMPLE`` clean and toxic documents and ``SAMPLE_BYTES`` of text, dealt to the two
     in the same proportion; a text above ``LONGEST_TEXT`` bytes is passed over and the next one taken.
@@ -254,11 +267,39 @@ def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
     )
     upto = W.partitionBy("toxic").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     share = F.when(F.col("toxic") == 1, SAMPLE[1] / sum(SAMPLE)).otherwise(SAMPLE[0] / sum(SAMPLE))
-    got = texts.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= SAMPLE_BYTES * share).select(
-        "doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return texts.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= SAMPLE_BYTES * share).select(
+        "doc_id", "text", "toxic")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1) -> tuple[list[str], list[int]]:
+    """Texts and labels of :func:`training_rows`, by doc_id."""
+    got = training_rows(docs, labels, parts, held_out).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return got["text"].to_pylist(), got["toxic"].to_pylist()
 
 
+_MODEL = T.StructType([
+    T.StructField("weights", T.BinaryType()), T.StructField("bias", T.DoubleType()), T.StructField("empty", T.DoubleType())])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of a partition's texts and labels, one row."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    model = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.empty])], names=_MODEL.fieldNames())
+
+
+def fitted_model(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1) -> Model:
+    """:func:`fit` on :func:`training_rows`, in a task that the bounded sample is brought to; the model is 1 MB."""
+    short_batches(docs.sparkSession)
+    rows = training_rows(docs, labels, parts, held_out).repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    got = rows.mapInArrow(_fitted, _MODEL).first()
+    return fit([], []) if got is None else Model(np.frombuffer(got["weights"]), got["bias"], got["empty"])
+
+
 def score_column(spark, model: Model):
     """A column function: probability of the toxic label of a text column without nulls."""
     shared = short_batches(spark).sparkContext.broadcast((model.weights, model.bias, model.empty))
@@ -280,7 +321,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
     Null texts count as empty; texts without words get the share of toxic labels, at most 0.5. Repeated rows and null ids
     (never held out) give a row each; further columns are ignored; without labels every score is 0.5.
     """
-    score = score_column(docs.sparkSession, fit(*training_sample(docs, labels, parts, held_out)))
+    score = score_column(docs.sparkSession, fitted_model(docs, labels, parts, held_out))
     out = F.coalesce(fold(docs, "doc_id", parts) == held_out, F.lit(False))
     return docs.select("doc_id", out.alias("held_out"), score(text_of(docs)).alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
@@ -288,6 +329,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    score = score_column(docs.sparkSession, fit(*training_sample(docs, labels)))
+    score = score_column(docs.sparkSession, fitted_model(docs, labels))
     scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), score(text_of(docs)).alias("score"))
     return scored.where(F.col("score") < threshold).select("doc.*")

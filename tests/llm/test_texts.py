@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -348,3 +349,29 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got)
     none = toxicity.toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert {round(r.score, 6) for r in none} == {0.5}
+
+
+def test_toxicity_is_not_fitted_in_the_driver(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["sea", "sky", "Baum", "vile"]) for _ in range(rng.randint(1, 30)))) for i in range(90)] + [(90, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = spark.createDataFrame([(i, int("vile" in (t or ""))) for i, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(*toxicity.training_sample(docs, marks))
+    want = dict(zip((i for i, _ in rows), toxicity.Scorer(model)([t or "" for _, t in rows]).tolist()))
+    driver, trained = os.getpid(), toxicity._trained
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return trained(*args)
+
+    monkeypatch.setattr(toxicity, "_trained", elsewhere)
+    assert {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, marks).collect()} == want
+    assert {r["doc_id"] for r in toxicity.without_toxic(docs, marks).collect()} == {i for i, s in want.items() if s < toxicity.THRESHOLD}
+
+
+def test_words_are_summed_in_steps(monkeypatch):
+    texts = [" ".join(f"w{i * k % 23}" for k in range(1, 20)) for i in range(30)]
+    whole = toxicity.fit(texts, [i % 2 for i in range(30)])
+    monkeypatch.setattr(toxicity, "WORDS", 3)
+    parts = toxicity.fit(texts, [i % 2 for i in range(30)])
+    assert (whole.weights == parts.weights).all() and whole.bias == parts.bias
