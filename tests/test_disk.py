@@ -120,3 +120,47 @@ def test_a_json_file_is_written_once_on_the_way(spark, tmp_path, kept):
         if label.startswith("json"):
             sizes[label] = spark.read.parquet(str(kept / name)).count()
     assert set(sizes) == {"json-items", "json-joined"} and sizes["json-joined"] < 200
+
+
+def test_packed_identifiers_come_back(spark):
+    from tallyscope.functions.text import packed, unpacked
+
+    odd = ["", "x", "ab" * 31, "A" * 64, "é" * 16, "\x00" * 32, "f" * 63, "f" * 65, "0" * 64 + "\n", "g" * 64, "y" * 31, "y" * 32, "z" * 33, "00" + "y" * 31]
+    texts = [*odd, *(f"{i:064x}" for i in range(50)), None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed(F.col("t")).alias("p")).select("t", "p", unpacked(F.col("p")).alias("u"))
+    found = rows.collect()
+    assert all(r.t == r.u for r in found) and len({bytes(r.p) for r in found if r.p is not None}) == len(texts) - 1
+
+
+def test_sightings_count_with_and_without_addresses(spark):
+    from collections import Counter
+
+    from tallyscope.operators.context import shared_ip
+    from tallyscope.settings import SharedEndpoint
+
+    rule = SharedEndpoint()
+    entries = lambda names: [(i, n, 1) for i, n in enumerate(names)]
+    ledger = [(f"t{i}", i, entries([f"p{i % 12}", f"p{i % 12}"]), entries([f"q{i % 9}"])) for i in range(120)] + [("bare", 500, [], []), ("t5", 900, [], entries(["p1"]))]
+    kind = "array<struct<position:int,address:string,amount_sats:bigint>>"
+    seen = [("1.1.1.1", f"t{i}") for i in range(120)] + [("1.1.1.1", "bare"), ("2.2.2.2", "t1"), (None, "t2"), ("3.3.3.3", "gone")]
+    found = {r.endpoint: r for r in shared_ip(
+        spark.createDataFrame(seen, "src_ip string, txid string"),
+        spark.createDataFrame(ledger, f"txid string, ts_us bigint, inputs {kind}, outputs {kind}"), rule).collect()}
+    hits = Counter(a for i in range(120) for a in {f"p{i % 12}", f"q{i % 9}"}) + Counter(["p1"])
+    recur = sorted(a for a, n in hits.items() if n >= rule.min_observations_per_address)
+    assert set(found) == {"1.1.1.1"}
+    row = found["1.1.1.1"]
+    assert (row.observation_count, row.start_us, row.end_us) == (122, 0, 900)
+    assert (row.distinct_addresses_observed, row.addresses_seen_at_endpoint, row.subject_id) == (len(recur), len(hits), recur[0])
+
+
+def test_a_run_keeps_no_table_that_nothing_reads(spark, kept):
+    from tallyscope.operators.importing import import_rows
+    from tallyscope.plans.run import run_analysis
+    from tests.test_run import harbour
+
+    result = import_rows(harbour().frame(spark))
+    run = run_analysis(result.transactions, result.observations)
+    assert run.alerts.count() > 0 and run.predictions.count() > 0
+    run.evidence.collect()
+    assert not {"payer-stretches", "best-window", "peel-steps", "peel-usable", "peel-links", "peel-live"} & set(_left(kept))
