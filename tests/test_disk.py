@@ -163,4 +163,19 @@ def test_a_run_keeps_no_table_that_nothing_reads(spark, kept):
     run = run_analysis(result.transactions, result.observations)
     assert run.alerts.count() > 0 and run.predictions.count() > 0
     run.evidence.collect()
-    assert not {"payer-stretches", "best-window", "peel-steps", "peel-usable", "peel-links", "peel-live"} & set(_left(kept))
+    assert not {"payer-stretches", "best-window", "window-payments", "peel-steps", "peel-usable", "peel-links", "peel-live"} & set(_left(kept))
+
+
+def test_payments_of_few_receivers_keep_every_column(spark):
+    from tallyscope.operators.activity import payer_receiver_pairs
+
+    entries = lambda names: [(i, n, 1) for i, n in enumerate(names)]
+    kind = "array<struct<position:int,address:string,amount_sats:bigint>>"
+    ids = ["a" * 64, "T" * 64, "short", "", None]
+    ledger = spark.createDataFrame(
+        [(t, i, 2, 2, r, entries(["p", f"p{i}"]), entries(["q", f"q{i}", "p"])) for i, t in enumerate(ids) for r in (0, 5, None)],
+        f"txid string, ts_us bigint, input_count int, output_count int, residual_sats bigint, inputs {kind}, outputs {kind}")
+    wanted = stage(spark.createDataFrame([("q",), ("p",)], "address string"), "wanted")
+    order = lambda df: sorted(df.select("txid", "ts_us", "discrepancy", "payer", "receiver").collect(), key=repr)
+    want = order(payer_receiver_pairs(ledger).where("receiver in ('p', 'q')"))
+    assert len(want) == 45 and order(payer_receiver_pairs(ledger, wanted)) == want and order(payer_receiver_pairs(ledger, wanted, few=True)) == want
